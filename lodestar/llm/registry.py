@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lodestar.llm import bpe, host_rules, matroska, packing, sharding
+from lodestar.llm import bagminhash, bpe, host_rules, matroska, packing, sharding
 
 QUERIES = {
     "op2_bpe_forced_boundary": bpe.op2_bpe_forced_boundary,
     "op3_two_pass_shuffle": sharding.op3_two_pass_shuffle,
     "op5_host_rules": host_rules.op5_host_rules,
     "op7_matroska": matroska.op7_matroska,
+    "op8_bagminhash": bagminhash.op8_bagminhash,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 ORACLES: dict[str, str] = {"op5_host_rules": host_rules.ORACLE}
