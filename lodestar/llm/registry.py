@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import bagminhash, bpe, host_rules, matroska, packing, sharding
+from lodestar.llm import bagminhash, bpe, host_rules, matroska, packing, sharding, suffix_dedup
 
 QUERIES = {
     "op2_bpe_forced_boundary": bpe.op2_bpe_forced_boundary,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_host_rules": host_rules.op5_host_rules,
     "op7_matroska": matroska.op7_matroska,
     "op8_bagminhash": bagminhash.op8_bagminhash,
+    "op9_suffix_family": suffix_dedup.op9_suffix_family,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 ORACLES: dict[str, str] = {"op5_host_rules": host_rules.ORACLE}
