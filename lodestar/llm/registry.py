@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from lodestar.llm import bagminhash, bpe, host_rules, kneser_ney, matroska, packing, sharding, suffix_dedup
+from lodestar.llm import bagminhash, bpe, feistel_pii, host_rules, kneser_ney, matroska, packing, pu_quality, sharding, suffix_dedup
 
 QUERIES = {
+    "op1_pu_quality": pu_quality.op1_pu_quality,
     "op2_bpe_forced_boundary": bpe.op2_bpe_forced_boundary,
     "op3_two_pass_shuffle": sharding.op3_two_pass_shuffle,
     "op4_kneser_ney": kneser_ney.op4_kneser_ney,
     "op5_host_rules": host_rules.op5_host_rules,
+    "op6_feistel_pii": feistel_pii.op6_feistel_pii,
     "op7_matroska": matroska.op7_matroska,
     "op8_bagminhash": bagminhash.op8_bagminhash,
     "op9_suffix_family": suffix_dedup.op9_suffix_family,
