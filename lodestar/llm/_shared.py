@@ -50,6 +50,16 @@ def local_path(uri: str) -> str:
     return at.path if at.scheme else uri
 
 
+def wrapped(docs: DataFrame, **named) -> DataFrame:
+    """The whole row as `_row`, with the named columns: whatever the row's own columns are called, none clashes."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[c.alias(k) for k, c in named.items()])
+
+
+def unwrapped(docs: DataFrame, columns: list[str], **new) -> DataFrame:
+    """The row's columns, some of them replaced."""
+    return docs.select(*[new[c].alias(c) if c in new else F.col(f"_row.`{c}`").alias(c) for c in columns])
+
+
 def input_bytes(docs: DataFrame, column: str = "text") -> tuple[int, int]:
     """Rows and UTF-8 bytes of a text column; a partial aggregate with one row to the driver."""
     row = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(column).cast("long")).alias("b")).first()
@@ -92,7 +102,7 @@ def buffers_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
     """Cuts a batch into runs of rows of at most so many bytes of a column; a longer row is a run of its own."""
     texts = texts_of(batch.column(batch.schema.get_field_index(column)))
     _, offsets = buffers_of(texts)

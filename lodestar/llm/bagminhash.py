@@ -7,9 +7,10 @@ of each component is the signature: two documents agree in a component with thei
 probability. Points are made in rounds of time until every component has one, so a signature costs about m log m points
 whatever the weights.
 
-Signatures are cut into bands. Texts that share a band's bucket are candidates: each is compared with the bucket's leader
-and only members in different components afterwards are compared further, so a bucket of n copies costs n comparisons.
-Candidates are verified by the overlap of their multisets. Documents with the same text count as one node.
+Signatures are cut into bands. Texts that share a band's bucket are candidates: each is compared with the bucket's leader,
+the text that shares most with others, so a bucket of n copies costs n comparisons; members left in other components are
+compared only with those that could still be similar, found by their rarest shingles. Candidates are verified by the
+overlap of their multisets. Documents with the same text count as one node.
 
 Defined results: null and empty texts, and those of white space alone, are near-duplicates only of equal texts; texts of
 one to four words are one shingle; null doc_ids come last and never name a class unless all its ids are null; repeated
@@ -21,12 +22,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm import _shared
 from lodestar.llm._kernels import U, grams, mix, span_hashes, words
-from lodestar.llm.components import components
+from lodestar.llm.components import components, joined_components
 
 SHINGLE = 5
 LEAST = 0.8
@@ -35,8 +36,6 @@ BANDS, ROWS = 32, 4
 SEED = 0x51ED270B
 #: Node lists up to this length (some MB) are broadcast, after a count; longer ones are joined by shuffle.
 BROADCAST_NODES = 1_000_000
-#: Rounds of one leader for each bucket before what is left is compared pair by pair.
-LEADER_ROUNDS = 3
 
 
 def multisets(texts: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -184,40 +183,70 @@ def pairs_of(left: Column, right: Column) -> list[Column]:
     return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
 
 
+def shingle_rows(sets: DataFrame) -> DataFrame:
+    """(node, shingle, c), one row for each shingle of each node."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                x = np.frombuffer(batch.column(1)[k].as_py(), np.int64)
+                c = batch.column(2)[k].as_py()
+                counts = np.frombuffer(c, np.uint32).astype(np.int64) if c else np.ones(len(x), np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(x), k))), pa.array(x), pa.array(counts)], ["node", "shingle", "c"])
+
+    return sets.select("node", "shingles", "counts").mapInArrow(run, "node long, shingle long, c long")
+
+
+def open_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
+    """Pairs that share a bucket, are in different components, and may reach the similarity: an overlap of a share of
+    both weights together, 4 / 9 for 0.8.
+
+    No pair is left out that could: with n a node's weight and own its weight in shingles of no other node here, a pair's
+    overlap is at most n - own of either node, so n of one may not be over (n - own) / share - n of the other. Nodes
+    without any such partner in their buckets are settled; the others look for partners by their rarest shingles, of
+    which they must share one, so far copies of one text aren't compared one by one.
+    """
+    share = least / (1 + least)
+    placed = members.join(labels, "node", "left").select("bucket", "node", "leader", F.coalesce("label", "node").alias("label"))
+    mixed = placed.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("bucket")
+    rest = _shared.materialize(placed.join(mixed, "bucket"), "open")
+    here = rest.select("node", "label").distinct()
+    rows = _shared.materialize(shingle_rows(sets.join(here.select("node"), "node", "left_semi")), "shingles")
+    spread = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    rows = _shared.materialize(rows.join(spread, "shingle"), "rated")
+    weights = rows.groupBy("node").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("df") > 1, F.col("c")).otherwise(0)).alias("own"))
+    nodes = _shared.materialize(here.join(weights.select("node", "n", (F.col("own") / share - F.col("n") + 1e-6).alias("slack")), "node"), "weights")
+    known = rest.join(nodes.select("node", "n", "slack"), "node")
+    bounds = known.groupBy("bucket").agg(F.min("n").alias("least_n"), F.max("slack").alias("most_slack"))
+    led = known.where("node = leader").select("bucket", F.col("label").alias("leader_label"))
+    seekers = known.join(bounds, "bucket").join(led, "bucket").where("label != leader_label AND least_n <= slack AND n <= most_slack")
+    seekers = seekers.groupBy("node").agg(F.first("label").alias("label"), F.first("n").alias("n"), F.first("slack").alias("slack"), F.min(F.greatest(F.col("least_n").cast("double"), F.col("n") * least)).alias("partner"))
+    mine = rows.join(seekers, "node").withColumn("before", F.sum("c").over(Window.partitionBy("node").orderBy("df", "shingle")) - F.col("c"))
+    rarest = mine.where(F.col("n") - F.col("before") >= F.ceil((F.col("n") + F.col("partner")) * share - 1e-6))
+    others = rows.select("shingle", "node").join(nodes, "node").select("shingle", F.col("node").alias("node2"), F.col("label").alias("label2"), F.col("n").alias("n2"), F.col("slack").alias("slack2"))
+    found = rarest.where("df > 1").join(others, "shingle").where(f"label != label2 AND n2 <= slack AND n <= slack2 AND n2 >= {least - 1e-9}D * n AND n >= {least - 1e-9}D * n2")
+    return found.select(*pairs_of(F.col("node"), F.col("node2"))).distinct()
+
+
 def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST, n: int = SHINGLE) -> DataFrame:
     """(own, node, class_own) of every document: the least document of its class."""
     signed = _shared.materialize(band_table(docs, key, text, n=n), "bands")
     texts = signed.groupBy("node").agg(F.min("own").alias("own"), F.first("bands").alias("bands"))
     buckets = texts.where("bands IS NOT NULL").select("node", F.explode("bands").alias("bucket"))
     buckets = _shared.materialize(buckets, "buckets")
-    shared = buckets.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "leader")
+    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = _shared.materialize(buckets.join(shared, "bucket"), "members")
+    # the node that shares the most with others is the likely centre of its group
+    degrees = members.groupBy("node").agg(F.sum("n").alias("degree"))
+    leaders = members.select("bucket", "node").join(degrees, "node").groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("m")).select("bucket", F.col("m.node").alias("leader"))
+    members = _shared.materialize(members.select("bucket", "node").join(leaders, "bucket"), "members")
     firsts = signed.groupBy("node").agg(F.min("own").alias("own"))
     needed = _shared.materialize(members.select("node").distinct().join(firsts, "node"), "needed")
     sets = _shared.materialize(multiset_table(docs.withColumnRenamed(key, "doc_id") if key != "doc_id" else docs, needed, text, n), "sets")
 
     candidates = members.where("node != leader").select(*pairs_of(F.col("node"), F.col("leader"))).distinct()
-    links = _shared.materialize(verify(candidates, sets, least), "verified")
-    done = members.select("bucket", F.col("leader").alias("node")).distinct()
-    for turn in range(1, LEADER_ROUNDS + 2):
-        labels = components(links)
-        placed = members.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-        # a pair is settled if its nodes are in one component or one of them has led the bucket
-        undone = placed.join(done, ["bucket", "node"], "left_anti")
-        open_ones = undone.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), F.col("node"), F.col("label"))).alias("lead")).where("x != y")
-        rest = _shared.materialize(undone.join(open_ones.select("bucket", F.col("lead.node").alias("leader"), F.col("lead.label").alias("leader_label")), "bucket"), "open")
-        if rest.isEmpty():
-            break
-        if turn <= LEADER_ROUNDS:
-            pairs = rest.where("label != leader_label").select(*pairs_of(F.col("node"), F.col("leader")))
-            done = done.unionByName(rest.select("bucket", F.col("leader").alias("node")).distinct())
-        else:
-            other = rest.select("bucket", F.col("node").alias("node2"), F.col("label").alias("label2"))
-            pairs = rest.join(other, "bucket").where("label < label2").select(*pairs_of(F.col("node"), F.col("node2")))
-        new = _shared.materialize(verify(pairs.distinct(), sets, least), "verified")
-        links = links.unionByName(new)
-    else:
-        labels = components(links)
+    labels = components(_shared.materialize(verify(candidates, sets, least), "verified"))
+    labels = joined_components(labels, _shared.materialize(verify(open_pairs(members, labels, sets, least), sets, least), "verified"))
     classes = firsts.join(labels, "node", "left").select("node", "own", F.coalesce("label", "node").alias("label"))
     heads = classes.groupBy("label").agg(F.min("own").alias("class_own"))
     of_node = classes.join(heads, "label").select("node", "class_own")
@@ -235,12 +264,12 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", least: fl
     found = _shared.materialize(near_duplicate_classes(docs, key, text, least), "classes")
     heads = found.where("own = class_own").groupBy("class_own").agg(F.min("node").alias("head"))
     gone = found.join(heads, "class_own").where("own != class_own OR node != head").select("own", "node").distinct()
-    named = docs.withColumns({"_own": order_of(F.col(key)), "_node": node_of(F.col(text))})
+    named = _shared.wrapped(docs, _own=order_of(F.col(key)), _node=node_of(F.col(text)))
     gone = _shared.materialize(gone.select(F.col("own").alias("_own"), F.col("node").alias("_node")), "gone")
     left = named.join(few(gone), ["_own", "_node"], "left_anti")
     if not found.where("own = class_own").groupBy("own", "node").count().where("count > 1").isEmpty():
         left = left.dropDuplicates(["_own", "_node"])
-    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _shared.unwrapped(left, docs.columns)
 
 
 def op8_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
