@@ -230,8 +230,9 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFra
 
 def replace_pii(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     """The documents with their own columns; n_chars follows the text."""
-    out = pseudonymise(docs, text, key).drop("_n_values")
-    return out.withColumn("n_chars", F.char_length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    out = pseudonymise(_shared.wrapped(docs, text=F.col(f"`{text}`")), "text", key)
+    new = {text: F.col("text")} | ({"n_chars": F.char_length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return _shared.unwrapped(out, docs.columns, **new)
 
 
 def op6_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,9 +111,9 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", carry: list
 
 def filter_documents(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """The documents that are kept, with their own columns; rules are checked twice, so that no text is written or moved."""
-    judged = document_rules(docs, text)
-    out = join_verdicts(judged.where(~F.col("rule_failed")), rejected_hosts(judged, host), host)
-    return out.where(~F.col("host_rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    judged = document_rules(_shared.wrapped(docs, text=F.col(text), source=F.col(host)))
+    out = join_verdicts(judged.where(~F.col("rule_failed")), rejected_hosts(judged))
+    return _shared.unwrapped(out.where(~F.col("host_rejected")), docs.columns)
 
 
 def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
