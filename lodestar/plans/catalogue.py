@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.plans import analytics_queries, vector_queries
+from lodestar.plans import analytics_queries, maintenance_queries, vector_queries
 
-QUERIES = vector_queries.QUERIES | analytics_queries.QUERIES
-ORACLES = vector_queries.ORACLES | analytics_queries.ORACLES
+QUERIES = vector_queries.QUERIES | analytics_queries.QUERIES | maintenance_queries.QUERIES
+ORACLES = vector_queries.ORACLES | analytics_queries.ORACLES | maintenance_queries.ORACLES
