@@ -79,6 +79,21 @@ def shard_of(probe: np.ndarray, shards: int) -> np.ndarray:
     return (mix(probe) % U(shards)).astype(np.int64)
 
 
+def short(probe: np.ndarray) -> np.ndarray:
+    """39 bits of a probe (even), enough to tell the probes of a shard apart; a mix-up only moves a segment too many."""
+    return (mix(probe) >> U(24)) & ~U(1)
+
+
+def pack40(keys: np.ndarray) -> bytes:
+    return np.ascontiguousarray(keys.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpack40(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return wide.view("<u8").ravel()
+
+
 def by_shard(shard: np.ndarray):
     order = np.argsort(shard, kind="stable")
     at = np.flatnonzero(np.diff(shard[order], prepend=-1))
@@ -98,8 +113,8 @@ def repeated_probes(docs: DataFrame, shards: int, folder: str) -> None:
             probe, row = probe[order], row[order]
             first = np.flatnonzero(np.diff(probe, prepend=probe[0] + U(2)))
             many = row[first] != row[np.append(first[1:], len(row)) - 1]
-            keys = probe[first] | many.astype(np.uint64)
-            found = [(k, keys[own].tobytes()) for k, own in by_shard(shard_of(keys & ~U(1), shards))]
+            keys = short(probe[first]) | many.astype(np.uint64)
+            found = [(k, pack40(keys[own])) for k, own in by_shard(shard_of(probe[first], shards))]
             return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], ["shard", "keys"])
 
         for batch in batches:
@@ -115,7 +130,7 @@ def repeated_probes(docs: DataFrame, shards: int, folder: str) -> None:
             yield flush()
 
     def reduce(table: pa.Table) -> pa.Table:
-        keys = np.sort(np.frombuffer(b"".join(x.as_py() for x in table.column("keys")), np.uint64))
+        keys = np.sort(unpack40(b"".join(x.as_py() for x in table.column("keys"))))
         probe = keys & ~U(1)
         first = np.flatnonzero(np.diff(probe, prepend=probe[0] + U(2)))
         ends = np.append(first[1:], len(probe))
@@ -192,8 +207,9 @@ def repeat_runs(docs: DataFrame, folder: str, shards: int) -> DataFrame:
                 if k not in probes:
                     probes[k] = _shared.map_array(folder, f"probes-{k}", np.uint64)
                 if len(probes[k]):
-                    at = np.minimum(np.searchsorted(probes[k], probe[own]), len(probes[k]) - 1)
-                    found[own] = probes[k][at] == probe[own]
+                    keys = short(probe[own])
+                    at = np.minimum(np.searchsorted(probes[k], keys), len(probes[k]) - 1)
+                    found[own] = probes[k][at] == keys
             return found
 
         def flush():
@@ -282,10 +298,10 @@ def repeat_spans(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
 
 
 def with_spans(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """docs with `_runs`, null where nothing repeats."""
+    """Whole rows (`_row`) with `_runs`, null where nothing repeats."""
     spans = repeat_spans(docs, shard_bytes).select(F.col("own").alias("_own"), F.col("node").alias("_node"), F.col("runs").alias("_runs"))
-    named = docs.withColumns({"_own": order_of(F.col("doc_id")), "_node": node_of(F.col("text"))})
-    return named.join(spans.hint("shuffle_hash"), ["_own", "_node"], "left").drop("_own", "_node")
+    named = _shared.wrapped(docs, _own=order_of(F.col("doc_id")), _node=node_of(F.col("text")))
+    return named.join(spans.hint("shuffle_hash"), ["_own", "_node"], "left").select("_row", "_runs")
 
 
 def stretches(runs: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -311,7 +327,7 @@ def cut_digests(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
                 sha.append(hashlib.sha256(b"".join([raw[x:y] for x, y in zip(ends, [*a.tolist(), len(raw)])])).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    rows = with_spans(docs.select("doc_id", "text"), shard_bytes).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "_runs")
+    rows = with_spans(docs.select("doc_id", "text"), shard_bytes).select("_row.doc_id", F.coalesce("_row.text", F.lit("")).alias("text"), "_runs")
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -343,7 +359,7 @@ def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = docs.schema
-    out = with_spans(docs, shard_bytes).select(*[F.col(f"`{c}`") for c in names], "_runs").mapInArrow(run, schema)
+    out = with_spans(docs, shard_bytes).select(*[F.col(f"_row.`{c}`").alias(c) for c in names], "_runs").mapInArrow(run, schema)
     return out.withColumn("n_chars", F.char_length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else out
 
 
