@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from lodestar.plans import analytics_queries, maintenance_queries, vector_queries
+from lodestar.plans import analytics_queries, maintenance_queries, more_queries, vector_queries
 
-QUERIES = vector_queries.QUERIES | analytics_queries.QUERIES | maintenance_queries.QUERIES
-ORACLES = vector_queries.ORACLES | analytics_queries.ORACLES | maintenance_queries.ORACLES
+PARTS = (vector_queries, more_queries, analytics_queries, maintenance_queries)
+QUERIES = {name: f for part in PARTS for name, f in part.QUERIES.items()}
+ORACLES = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
