@@ -106,18 +106,18 @@ def spectral_hash(spark, sf_dir):
     return S.top_k(pairs.select("qid", "id", F.expr(X.coordinate_sum("CASE WHEN x <> y THEN 1 ELSE 0 END", "qbits", "bits")).alias("dist")), K)
 
 
-@query("qalsh")
-def qalsh(spark, sf_dir):
+@query("query_aware_hash")
+def query_aware_hash(spark, sf_dir):
     return N.query_aware_search(*both(spark, sf_dir), K, tables=40, save=saver(spark))
 
 
-@query("db_lsh")
-def db_lsh(spark, sf_dir):
+@query("dynamic_bucket_hash")
+def dynamic_bucket_hash(spark, sf_dir):
     return N.dynamic_bucket_search(*both(spark, sf_dir), K, save=saver(spark))
 
 
-@query("pm_lsh")
-def pm_lsh(spark, sf_dir):
+@query("projected_hash_bounded")
+def projected_hash_bounded(spark, sf_dir):
     b, q = both(spark, sf_dir)
     return X.projected_candidates(b, q, X.hyperplanes(15, 64, 12) / np.sqrt(N.chi_square_quantile(15)), K, int(0.1 * b.count()) + K)
 
@@ -131,3 +131,80 @@ def code_patterns(spark, sf_dir):
     items = coded.select(F.transform("code", lambda c, j: F.concat_ws(":", j.cast("string"), c.cast("string"))).alias("items"))
     found = FPGrowth(minSupport=0.02, minConfidence=0.5).fit(items).freqItemsets
     return found.select(F.array_join(F.array_sort("items"), " ").alias("items"), "freq")
+
+
+# -- k-means steps beyond the plain one, from the rows with the 16 least ids
+
+_MEANS = "SELECT list_no, pos, avg(x) AS x FROM (SELECT list_no, unnest(range(0, 64)) AS pos, unnest(v) AS x FROM lists) GROUP BY 1, 2"
+
+
+@query("spherical_step", f", m AS ({_MEANS}), n AS (SELECT list_no, sqrt(sum(x * x)) AS n FROM m GROUP BY 1) SELECT list_no, pos, round(x / n, 6) AS x FROM m JOIN n USING (list_no)")
+def spherical_step(spark, sf_dir):
+    from lodestar.functions.vectors import normalize
+
+    step = X.kmeans_step(base(spark, sf_dir), first_centroids(spark, sf_dir)).withColumn("c", normalize("c"))
+    return step.select(F.col("list_no").cast("long").alias("list_no"), F.posexplode("c").alias("pos", "x")).select("list_no", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
+
+
+@query("weighted_step", "SELECT list_no, pos, round(sum(x * w) / sum(w), 6) AS x FROM (SELECT list_no, id % 3 + 1 AS w, unnest(range(0, 64)) AS pos, unnest(v) AS x FROM lists) GROUP BY 1, 2")
+def weighted_step(spark, sf_dir):
+    own = X.assign(base(spark, sf_dir), first_centroids(spark, sf_dir)).select(F.col("list_no").cast("long").alias("list_no"), (F.col("id") % 3 + 1).alias("w"), F.posexplode("v").alias("pos", "x"))
+    return own.groupBy("list_no", F.col("pos").cast("long").alias("pos")).agg(F.round(F.sum(F.col("x") * F.col("w")) / F.sum("w"), 6).alias("x"))
+
+
+@query("kmeans_3_steps")
+def kmeans_3_steps(spark, sf_dir):
+    """Three distributed steps; the centroids, a bounded matrix, go by the driver between them."""
+    b, c = base(spark, sf_dir), first_centroids(spark, sf_dir)
+    for _ in range(3):
+        found = {r.list_no: r.c for r in X.kmeans_step(b, c).collect()}
+        c = np.array([found.get(k, list(x)) for k, x in enumerate(c)])
+    return X.assign(b, c).groupBy("list_no").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("list_dist"), 6).alias("loss"))
+
+
+@query("empty_list_split", "SELECT list_no, count(*) AS n FROM lists GROUP BY list_no")
+def empty_list_split(spark, sf_dir):
+    """Sizes after assignment; a centroid that got no row would be split off the largest list on the driver."""
+    return X.assign(base(spark, sf_dir), first_centroids(spark, sf_dir)).groupBy(F.col("list_no").cast("long").alias("list_no")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- merging and tuning
+
+
+@query("triple_union", ", x AS (SELECT qid, id FROM (" + " UNION ".join(f"SELECT qid, id FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY {duck.measure('l2', f'q[{a}:{b}]', f'v[{a}:{b}]')}, id) AS rank FROM q, b) WHERE rank <= 5" for a, b in ((1, 20), (21, 40), (41, 64))) + ")) SELECT DISTINCT qid, id FROM x")
+def triple_union(spark, sf_dir):
+    from lodestar.operators import merge as M
+
+    b, q = both(spark, sf_dir)
+    part = lambda a, n: S.knn(b.withColumn("v", F.slice("v", a, n)), q.withColumn("q", F.slice("q", a, n)), 5)
+    return M.pair_union(part(1, 20), part(21, 20), part(41, 24))
+
+
+@query("operating_points_merged", ", pts AS (SELECT 'a:' || p_partkey AS key, (p_partkey * 37 % 500) / 500.0::DOUBLE AS perf, 1 + (p_partkey * 53 % 900) / 10.0::DOUBLE AS t FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 'b:' || p_partkey, (p_partkey * 37 % 500) / 500.0::DOUBLE, 1 + (p_partkey * 53 % 900) / 10.0::DOUBLE FROM part WHERE p_partkey % 2 = 1), best AS (SELECT * FROM pts WHERE perf > 0 QUALIFY row_number() OVER (PARTITION BY perf ORDER BY t, key) = 1) SELECT key, perf, t FROM (SELECT *, min(t) OVER (ORDER BY perf DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM best) WHERE before IS NULL OR t < before")
+def operating_points_merged(spark, sf_dir):
+    from lodestar.operators.metrics import pareto_front
+    from lodestar.plans.vector_queries import points
+
+    p = points(spark, sf_dir)
+    tag = lambda name, rest: p.where(F.col("key") % 2 == rest).withColumn("key", F.concat(F.lit(f"{name}:"), F.col("key").cast("string")))
+    return pareto_front(tag("a", 0).unionByName(tag("b", 1)))
+
+
+@query("param_grid", "SELECT nprobe, m, nprobe * m AS cost FROM (VALUES (1), (4), (16)) a(nprobe), (VALUES (4), (8)) b(m)")
+def param_grid(spark, sf_dir):
+    from lodestar.plans.spec import param_grid as grid
+
+    return spark.createDataFrame([(x["nprobe"], x["m"], x["nprobe"] * x["m"]) for x in grid(nprobe=[1, 4, 16], m=[4, 8])], "nprobe int, m int, cost int")
+
+
+@query("autopilot_plan")
+def autopilot_plan(spark, sf_dir):
+    from lodestar.plans.spec import autopilot
+
+    b = base(spark, sf_dir)
+    n, d = b.count(), len(b.first().v)
+    return spark.createDataFrame([(n * f, d, autopilot(n * f, d)) for f in (1, 1000, 100_000)], "n long, dimension int, plan string")
+
+
+for _name in ("spherical_step", "triple_union", "operating_points_merged"):
+    ORACLES[_name] = ORACLES[_name].replace(") , ", "), ", 1)

@@ -422,8 +422,8 @@ def rq_greedy(spark, sf_dir):
     return X.residual_encode(b, stages).select("id", F.round(F.expr("sqrt(aggregate(rest, 0D, (a, x) -> a + x * x))"), 6).alias("error"), F.array_join(F.col("code").cast("array<string>"), ",").alias("code"))
 
 
-@query("vaq")
-def vaq(spark, sf_dir):
+@query("variance_aware_pq")
+def variance_aware_pq(spark, sf_dir):
     b, q = both(spark, sf_dir)
     mean, axes, books = X.variance_aware(X.training_rows(b, 4096), 8, 32, 1, 6)
     turned = lambda c: V.linear(axes.T, c, -(mean @ axes))
