@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestar.operators import search as S
 from lodestar.plans import duck
-from lodestar.plans.vector_queries import base, both, first_centroids
+from lodestar.plans.vector_queries import _nearest, base, both, first_centroids
 from lodestar.operators import indexes as X
 from lodestar.sources import vecs
 from lodestar.streaming import maintenance as M
@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = f
         if sql:
-            ORACLES[name] = f"WITH {duck.BASE} {sql}"
+            ORACLES[name] = f"WITH {duck.BASE}{sql}" if sql.startswith(",") else f"WITH {duck.BASE} {sql}"
         return f
 
     return add
@@ -99,15 +99,18 @@ def dedup_postings(spark, sf_dir):
     return base(spark, sf_dir).groupBy(F.expr("transform(slice(v, 1, 2), x -> x >= 0)").alias("g")).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).select("id", "n")
 
 
-@query("event_windows")
+@query("event_windows", """, w AS (SELECT event_type, unnest([time_bucket(INTERVAL '30 minutes', ts), time_bucket(INTERVAL '30 minutes', ts) - INTERVAL '30 minutes']) AS s FROM events)
+SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start_time, strftime(s + INTERVAL '1 hour', '%Y-%m-%d %H:%M:%S') AS end_time, event_type, count(*) AS n FROM w GROUP BY s, event_type""")
 def event_windows(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    time = next(c for c, t in e.dtypes if t.startswith("timestamp"))
-    key = next(c for c, t in e.dtypes if t == "string")
-    return M.windowed_counts(e, time, key)
+    out = M.windowed_counts(spark.read.parquet(f"{sf_dir}/events.parquet"), "ts", "event_type")
+    time = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(f"{c}_time")
+    return out.select(time("start"), time("end"), "event_type", "n")
 
 
-@query("ivf_after_update")
+_C = "c AS (SELECT id AS list_no, v AS c FROM b WHERE id < 16)"
+
+
+@query("ivf_after_update", f", {_C}, lists AS ({_nearest('b', 'id', 'v', 1)}), probes AS ({_nearest('q', 'qid', 'q', 4)}), hit AS (SELECT qid, id, {duck.measure('l2', 'probes.q', 'lists.v')} AS dist FROM probes JOIN lists USING (list_no) WHERE id % 5 <> 1) SELECT qid, rank, id, dist FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM hit) WHERE rank <= 10")
 def ivf_after_update(spark, sf_dir):
     b, q = both(spark, sf_dir)
     c = first_centroids(spark, sf_dir)

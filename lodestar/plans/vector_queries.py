@@ -357,27 +357,47 @@ def refine_k_factor(spark, sf_dir):
     return S.refine(cand, b, q, K)
 
 
-@query("collision_band", None)
+def _ranked(source: str, k: int = K) -> str:
+    return f"SELECT qid, rank, id, dist FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM ({source})) WHERE rank <= {k}"
+
+
+def _projected(m) -> str:
+    return f"pb AS (SELECT id, v, {_mapped(m, 'v')} AS x FROM b), pq AS (SELECT qid, q, {_mapped(m, 'q')} AS y FROM q)"
+
+
+_BAND = X.hyperplanes(12, 64, 9)
+_BOXES = [X.hyperplanes(3, 64, s) for s in (1, 2, 3, 4)]
+_LOW = X.hyperplanes(15, 64, 12) / 8
+_APART = "CASE WHEN x <> y THEN 1 ELSE 0 END"
+_CODES = f"cb AS (SELECT id, {_code('v', 'r')} AS c FROM b), cq AS (SELECT qid, {_code('q', 'r')} AS d FROM q)"
+
+
+@query("collision_band", f"WITH {duck.BASE}, {_projected(_BAND)} {_ranked('SELECT qid, id, ' + duck.measure('l2') + ' AS dist FROM pq, pb WHERE ' + duck.total('CASE WHEN abs(x - y) <= 0.5 THEN 1 ELSE 0 END', 'pq.y', 'pb.x') + ' >= 6')}")
 def collision_band(spark, sf_dir):
-    return X.collision_search(*both(spark, sf_dir), X.hyperplanes(12, 64, 9), K, 1.0, 6)
+    return X.collision_search(*both(spark, sf_dir), _BAND, K, 1.0, 6)
 
 
-@query("box_hash")
+@query("box_hash", f"WITH {duck.BASE}, {_projected(np.concatenate(_BOXES))} {_ranked('SELECT qid, id, ' + duck.measure('l2') + ' AS dist FROM pq, pb WHERE ' + ' OR '.join(duck.measure('linf', f'pq.y[{3 * t + 1}:{3 * t + 3}]', f'pb.x[{3 * t + 1}:{3 * t + 3}]') + ' <= 0.7' for t in range(4)))}")
 def box_hash(spark, sf_dir):
-    return X.box_search(*both(spark, sf_dir), [X.hyperplanes(3, 64, s) for s in (1, 2, 3, 4)], K, 0.7)
+    return X.box_search(*both(spark, sf_dir), _BOXES, K, 0.7)
 
 
-@query("projected_verify")
+@query("projected_verify", f"WITH {duck.BASE}, {_projected(_LOW)}, near AS (SELECT pq.qid, pb.id, q, v, row_number() OVER (PARTITION BY qid ORDER BY {duck.measure('l2', 'pq.y', 'pb.x')}, id) AS r FROM pq, pb) {_ranked('SELECT qid, id, ' + duck.measure('l2') + ' AS dist FROM near WHERE r <= 60')}")
 def projected_verify(spark, sf_dir):
-    return X.projected_candidates(*both(spark, sf_dir), X.hyperplanes(15, 64, 12) / 8, K, 60)
+    return X.projected_candidates(*both(spark, sf_dir), _LOW, K, 60)
 
 
-@query("binary_hash_flip")
+def _flips(tables: int, flips: int) -> str:
+    inside = " OR ".join(f"{duck.total(_APART, f'cq.d[{8 * t + 1}:{8 * t + 8}]', f'cb.c[{8 * t + 1}:{8 * t + 8}]')} <= {flips}" for t in range(tables))
+    return f"WITH {duck.BASE}, {_CODES} {_ranked('SELECT qid, id, ' + duck.total(_APART, 'cq.d', 'cb.c') + ' AS dist FROM cq, cb WHERE ' + inside)}"
+
+
+@query("binary_hash_flip", _flips(1, 2))
 def binary_hash_flip(spark, sf_dir):
     return X.binary_hash_search(*both(spark, sf_dir), _PLANES, K, 8, 1, 2)
 
 
-@query("binary_multihash")
+@query("binary_multihash", _flips(3, 1))
 def binary_multihash(spark, sf_dir):
     return X.binary_hash_search(*both(spark, sf_dir), _PLANES, K, 8, 3, 1)
 
@@ -396,18 +416,24 @@ def soar_spill(spark, sf_dir):
     return X.ivf_search(X.soar_spilled(b, c), q, c, K, 4)
 
 
-@query("pq_symmetric")
+_QCODE = f"qcode AS (SELECT qid, j, k AS qk, c AS qc FROM (SELECT qid, book.j, k, c, row_number() OVER (PARTITION BY qid, book.j ORDER BY {duck.measure('l2_sq', 'c', 'q[book.j * 8 + 1:book.j * 8 + 8]')}, k) AS r FROM q, book) WHERE r = 1)"
+
+
+@query("pq_symmetric", f"WITH {duck.BASE}, {_PIECES}, {_PQCODE}, {_QCODE} {_ranked('SELECT qid, id, round(sum(' + duck.measure('l2_sq', 'qc', 'book.c') + '), 6) AS dist FROM qcode JOIN code USING (j) JOIN book USING (j, k) GROUP BY qid, id')}")
 def pq_symmetric(spark, sf_dir):
     b, q = both(spark, sf_dir)
     books = _books(spark, sf_dir)
-    return X.pq_symmetric(X.pq_encode(b, books), q, books, K)
+    codes = X.pq_encode(b, books).select("id", "code")
+    tables = X.pq_tables(X.pq_encode(q, books, "q").withColumn("q", X.pq_decode(books)), books).select("qid", "lut")
+    return S.top_k(codes.join(F.broadcast(tables)).select("qid", "id", F.round(X.adc(), 6).alias("dist")), K)
 
 
-@query("polysemous")
+@query("polysemous", f"WITH {duck.BASE}, {_PIECES}, {_PQCODE}, {_QCODE} {_ranked('SELECT qid, id, round(sum(' + duck.measure('l2_sq', 'q.q[j * 8 + 1:j * 8 + 8]', 'book.c') + '), 6) AS dist FROM qcode JOIN code USING (j) JOIN book USING (j, k) JOIN q USING (qid) GROUP BY qid, id HAVING sum((qk <> k)::INT) <= 6')}")
 def polysemous(spark, sf_dir):
     b, q = both(spark, sf_dir)
     books = _books(spark, sf_dir)
-    return X.polysemous(X.pq_encode(b, books), q, books, K, 6)
+    found = X.polysemous(X.pq_encode(b, books), q, books, 1 << 30, 6)
+    return S.top_k(found.select("qid", "id", F.round("dist", 6).alias("dist")), K)
 
 
 @query("rq_greedy")
