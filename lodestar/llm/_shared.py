@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
+_C = ctypes.CDLL(None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,15 +104,23 @@ def buffers_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
-    """Cuts a batch into runs of rows of at most so many bytes of a column; a longer row is a run of its own."""
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20, rows: int = 1 << 30):
+    """Cuts a batch into runs of at most so many rows and bytes of a column; a longer row is a run of its own."""
     texts = texts_of(batch.column(batch.schema.get_field_index(column)))
     _, offsets = buffers_of(texts)
     k, n = 0, len(texts)
     while k < n:
-        end = max(k + 1, int(np.searchsorted(offsets, offsets[k] + most, "right")) - 1)
+        end = min(k + rows, max(k + 1, int(np.searchsorted(offsets, offsets[k] + most, "right")) - 1))
         yield batch.slice(k, end - k), texts.slice(k, end - k)
         k = end
+    trim()
+
+
+def trim() -> None:
+    """Gives memory that is free back to the system; workers live on after their tasks."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_C, "malloc_trim"):
+        _C.malloc_trim(0)
 
 
 def long_column(batch: pa.RecordBatch, name: str, null: int) -> np.ndarray:

@@ -28,8 +28,10 @@ PLACES = 2048
 #: Rows that the fit takes of each kind, at most: the rows with the least hashes of their ids.
 SAMPLE = 6000
 STEPS, RATE = 200, 0.03
+#: The risk swings between its two branches; the weights of so many last steps are averaged.
+AVERAGED = 100
 #: Standardised features are cut at so many deviations; L2 on the weights of byte pairs and of the others.
-CLIP, DECAY_PAIRS, DECAY_DENSE = 3.0, 1e-2, 1e-4
+CLIP, DECAY_PAIRS, DECAY_DENSE = 3.0, 3e-2, 1e-4
 THRESHOLD = 0.7
 
 _KINDS = np.zeros((8, 256), bool)
@@ -111,17 +113,23 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     decay = np.where(np.arange(p.shape[1]) < PLACES, DECAY_PAIRS, DECAY_DENSE)
     w, b, adam = np.zeros(p.shape[1]), float(np.log(prior / (1 - prior))), Adam(p.shape[1] + 1)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    for _ in range(steps):
-        zp, zu = p @ w + b, u @ w + b
+    total = np.zeros(len(w) + 1)
+    averaged = min(AVERAGED, steps)
+    for step in range(steps):
+        w32 = w.astype(np.float32)
+        zp, zu = (p @ w32).astype(np.float64) + b, (u @ w32).astype(np.float64) + b
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         gp, gu = prior * sigmoid(zp) / len(p), sigmoid(zu) / len(u)
         if negative < 0:  # step against the overfitted part
             dp, du = gp, -gu
         else:
             dp, du = -prior * sigmoid(-zp) / len(p) - gp, gu
-        gradient = np.append(p.T @ dp + u.T @ du + decay * w, dp.sum() + du.sum())
+        gradient = np.append(p.T @ dp.astype(np.float32) + u.T @ du.astype(np.float32) + decay * w, dp.sum() + du.sum())
         change = adam.step(gradient)
         w, b = w - change[:-1], b - change[-1]
+        if step >= steps - averaged:
+            total += np.append(w, b) / averaged
+    w, b = total[:-1], total[-1]
     return {"w": w.astype(np.float32), "b": float(b), "mean": mean, "scale": scale, "prior": prior}
 
 
@@ -135,7 +143,7 @@ def sample(docs: DataFrame, ids: DataFrame, most: int) -> np.ndarray:
 
     def run(batches):
         for batch in batches:
-            for part, texts in _shared.slices(batch, "text", 1 << 20):
+            for part, texts in _shared.slices(batch, "text", 1 << 20, 1000):
                 x = features(texts).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "x"])
 
@@ -167,7 +175,7 @@ def score(docs: DataFrame, model: dict, key: str = "doc_id") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part, texts in _shared.slices(batch, "text", 1 << 20):
+            for part, texts in _shared.slices(batch, "text", 1 << 20, 1000):
                 z = (standard(features(texts), mean, scale) @ w + b).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in carried), pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], [*carried, "score"])
 

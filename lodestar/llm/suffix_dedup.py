@@ -251,6 +251,7 @@ def repeat_runs(docs: DataFrame, folder: str, shards: int) -> DataFrame:
                 if held >= GATHER_BYTES:
                     yield flush()
                     parts, held = [], 0
+                    _shared.trim()
         if parts:
             yield flush()
 

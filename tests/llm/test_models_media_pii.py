@@ -83,7 +83,7 @@ def test_nonnegative_risk_is_kept():
     x = rng.standard_normal((400, pu_quality.PLACES + pu_quality.DENSE)).astype(np.float32)
     x[:, 20:] = 0
     x[:300, 0] += 3
-    model = pu_quality.fit(x[:100], x[100:], 0.66, steps=60)
+    model = pu_quality.fit(x[:100], x[100:], 0.66)
     z = pu_quality.standard(x, model["mean"], model["scale"]) @ model["w"] + model["b"]
     assert np.median(z[:300]) > np.quantile(z[300:], 0.9)
 
