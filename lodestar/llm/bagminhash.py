@@ -262,8 +262,10 @@ def class_table(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """One document of each class, with its own columns; of repeated rows one."""
     found = _shared.materialize(near_duplicate_classes(docs, key, text, least), "classes")
-    heads = found.where("own = class_own").groupBy("class_own").agg(F.min("node").alias("head"))
-    gone = found.join(heads, "class_own").where("own != class_own OR node != head").select("own", "node").distinct()
+    # of each class the rows with other ids go, and rows of its own id but another text; no join by class, some are large
+    same = found.where("own = class_own").select("own", "node").distinct()
+    heads = same.groupBy("own").agg(F.min("node").alias("head"))
+    gone = found.where("own != class_own").select("own", "node").distinct().unionByName(same.join(heads, "own").where("node != head").select("own", "node"))
     named = _shared.wrapped(docs, _own=order_of(F.col(key)), _node=node_of(F.col(text)))
     gone = _shared.materialize(gone.select(F.col("own").alias("_own"), F.col("node").alias("_node")), "gone")
     left = named.join(few(gone), ["_own", "_node"], "left_anti")
