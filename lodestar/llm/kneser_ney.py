@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import _shared
-from lodestar.llm._kernels import U, join_hashes, span_hashes, words
+from lodestar.llm._kernels import U, join_hashes, mix, span_hashes, words
 
 ORDER = 2
 END, START = U(0x9D1F_27C3_51B8_A6E5), U(0x2B7E_1516_28AE_D2A7)
 #: Text for each shard, and the tokens a map task counts before it sends.
-SHARD_BYTES = 32 << 20
-GATHER = 3_000_000
+SHARD_BYTES = 12 << 20
+GATHER = 1_600_000
 
 
 def token_stream(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,7 +47,7 @@ def token_stream(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
 
 def gram_keys(tokens: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n tokens that end at each place."""
-    key = tokens[at - (n - 1)]
+    key = mix(tokens[at - (n - 1)])
     for k in range(n - 2, -1, -1):
         key = join_hashes(key, tokens[at - k])
     return key
@@ -77,6 +77,8 @@ NUMBERS = ("n1", "n2", "n3", "n4", "total", "distinct")
 COLUMNS = ("c1", "c2", "c3", "c4")
 SENT = "kind string, shard long, keys binary, c1 binary, c2 binary, c3 binary, c4 binary, order int, " + ", ".join(f"{x} long" for x in NUMBERS)
 ID_BYTES = 5
+#: Counts from here on stand in a table of their own, so that the others take a byte.
+MANY = 255
 
 
 def ids_of(tokens: np.ndarray) -> np.ndarray:
@@ -110,7 +112,7 @@ def told(shard: int, order: int, counts: np.ndarray) -> dict:
 
 
 def fold(spelled: np.ndarray, a: int, b: int) -> np.ndarray:
-    key = spelled[:, a].copy()
+    key = mix(spelled[:, a])
     for k in range(a + 1, b):
         key = join_hashes(key, spelled[:, k])
     return key
@@ -152,6 +154,7 @@ def count_grams(texts: DataFrame, order: int, shards: int, folder: str) -> list[
                 if n >= GATHER:
                     yield from flush()
                     held, n = [], 0
+                    _shared.trim()
         if n:
             yield from flush()
 
@@ -169,14 +172,19 @@ def count_grams(texts: DataFrame, order: int, shards: int, folder: str) -> list[
             if len(contexts):
                 keys, sums = sums_of(blob(contexts, "keys", np.uint64), [blob(contexts, c, "u4").astype(np.int64) for c in COLUMNS])
                 _shared.write_array(folder, f"context{level + 1}-key-{shard}", keys)
-                _shared.write_array(folder, f"context{level + 1}-sums-{shard}", np.stack(sums, axis=1).astype("u8"))
+                _shared.write_array(folder, f"context{level + 1}-sums-{shard}", np.stack(sums, axis=1).astype("u4"))
             if len(grams):
                 spelled, counts = unspell(blob(grams, "keys", np.uint8), level), blob(grams, "c1", "u4").astype(np.int64)
+                del table, grams
                 key = fold(spelled, 0, level)
                 by, first = runs_of(key)
-                key, spelled, counts = key[by][first], spelled[by][first], np.add.reduceat(counts[by], first)
+                counts, by = np.add.reduceat(counts[by], first), by[first]
+                key, spelled = key[by], spelled[by]
                 _shared.write_array(folder, f"gram{level}-key-{shard}", key)
-                _shared.write_array(folder, f"gram{level}-count-{shard}", counts.astype("u4"))
+                _shared.write_array(folder, f"gram{level}-count-{shard}", np.minimum(counts, MANY).astype("u1"))
+                big = counts >= MANY
+                _shared.write_array(folder, f"many{level}-key-{shard}", key[big])
+                _shared.write_array(folder, f"many{level}-count-{shard}", counts[big].astype("u8"))
                 out.append(told(shard, level, counts))
                 if level > 1:
                     ctx, sums = sums_of(fold(spelled, 0, level - 1), [counts, *((x.astype(np.int64)) for x in (counts == 1, counts == 2, counts > 2))])
@@ -185,6 +193,7 @@ def count_grams(texts: DataFrame, order: int, shards: int, folder: str) -> list[
                     by, first = runs_of(low)
                     low, rest = low[by][first], spelled[by, 1:][first]
                     out += sent("gram", low, lambda s: spell(rest[s]), [np.diff(np.append(first, len(by)))], shards)
+            _shared.trim()
             return arrow(out)
 
         return run
@@ -251,14 +260,17 @@ class Model:
             if not s:
                 continue
             d = np.array([0.0, *discounts(s)])
-            c = self.lookup(f"gram{level}", gram_keys(tokens, at, level), "count", "u4")[:, 0]
+            keys = gram_keys(tokens, at, level)
+            c = self.lookup(f"gram{level}", keys, "count", "u1")[:, 0]
+            if (big := c == MANY).any():
+                c[big] = self.lookup(f"many{level}", keys[big], "count", "u8")[:, 0]
             kept = np.maximum(c - d[np.minimum(c, 3).astype(np.int64)], 0)
             if level == 1:
                 total = float(s["total"])
                 rest = d[1] * s["n1"] + d[2] * s["n2"] + d[3] * (s["distinct"] - s["n1"] - s["n2"])
                 p = (kept + rest * p) / total
             else:
-                sums = self.lookup(f"context{level}", gram_keys(tokens, at - 1, level - 1), "sums", "u8", 4)
+                sums = self.lookup(f"context{level}", gram_keys(tokens, at - 1, level - 1), "sums", "u4", 4)
                 seen = sums[:, 0] > 0
                 p[seen] = (kept[seen] + sums[seen, 1:] @ d[1:] * p[seen]) / sums[seen, 0]
         return np.log10(p)
