@@ -15,7 +15,8 @@ overlap of their multisets. Documents with the same text count as one node.
 Defined results: null and empty texts, and those of white space alone, are near-duplicates only of equal texts; texts of
 one to four words are one shingle; null doc_ids come last and never name a class unless all its ids are null; repeated
 rows share a class; an empty table gives no rows; other columns are not looked at. The identity of a text is its 64-bit
-xxHash.
+xxHash. Classes whose least ids are equal, or null, have the same class_id; class_label, the least text hash of the
+class, tells them apart.
 """
 
 from __future__ import annotations
@@ -229,7 +230,7 @@ def open_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, least: fl
 
 
 def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST, n: int = SHINGLE) -> DataFrame:
-    """(own, node, class_own) of every document: the least document of its class."""
+    """(own, node, label, class_own, class_node) of every document: its class, and the least document of that."""
     signed = _shared.materialize(band_table(docs, key, text, n=n), "bands")
     texts = signed.groupBy("node").agg(F.min("own").alias("own"), F.first("bands").alias("bands"))
     buckets = texts.where("bands IS NOT NULL").select("node", F.explode("bands").alias("bucket"))
@@ -248,28 +249,28 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     labels = components(_shared.materialize(verify(candidates, sets, least), "verified"))
     labels = joined_components(labels, _shared.materialize(verify(open_pairs(members, labels, sets, least), sets, least), "verified"))
     classes = firsts.join(labels, "node", "left").select("node", "own", F.coalesce("label", "node").alias("label"))
-    heads = classes.groupBy("label").agg(F.min("own").alias("class_own"))
-    of_node = classes.join(heads, "label").select("node", "class_own")
+    # ids may be null or tied, so a class is its label, and its least document an id and a text
+    heads = classes.groupBy("label").agg(F.min(F.struct("own", "node")).alias("head"))
+    of_node = classes.join(heads, "label").select("node", "label", F.col("head.own").alias("class_own"), F.col("head.node").alias("class_node"))
     return signed.select("own", "node").join(of_node, "node")
 
 
 def class_table(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
-    """One row per document: its id and the id of its class, the least in it."""
+    """One row per document: its id, the id of its class, the least in it, and the label of the class."""
     back = lambda c: F.when(F.col(c) != (1 << 63) - 1, F.col(c))
-    return near_duplicate_classes(docs, key, text, least).select(back("own").alias(key), back("class_own").alias("class_id"))
+    return near_duplicate_classes(docs, key, text, least).select(back("own").alias(key), back("class_own").alias("class_id"), F.col("label").alias("class_label"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """One document of each class, with its own columns; of repeated rows one."""
-    found = _shared.materialize(near_duplicate_classes(docs, key, text, least), "classes")
-    # of each class the rows with other ids go, and rows of its own id but another text; no join by class, some are large
-    same = found.where("own = class_own").select("own", "node").distinct()
-    heads = same.groupBy("own").agg(F.min("node").alias("head"))
-    gone = found.where("own != class_own").select("own", "node").distinct().unionByName(same.join(heads, "own").where("node != head").select("own", "node"))
+    # of each class only its head stays, by id and text; no join by class, some are large
+    head = (F.col("own") == F.col("class_own")) & (F.col("node") == F.col("class_node"))
+    found = _shared.materialize(near_duplicate_classes(docs, key, text, least).select("own", "node", head.alias("head")), "classes")
+    gone = found.where("NOT head").select("own", "node").distinct()
     named = _shared.wrapped(docs, _own=order_of(F.col(key)), _node=node_of(F.col(text)))
     gone = _shared.materialize(gone.select(F.col("own").alias("_own"), F.col("node").alias("_node")), "gone")
     left = named.join(few(gone), ["_own", "_node"], "left_anti")
-    if not found.where("own = class_own").groupBy("own", "node").count().where("count > 1").isEmpty():
+    if not found.where("head").groupBy("own", "node").count().where("count > 1").isEmpty():
         left = left.dropDuplicates(["_own", "_node"])
     return _shared.unwrapped(left, docs.columns)
 

@@ -45,6 +45,20 @@ def test_classes(spark, docs, clashing, empty):
     assert bagminhash.class_table(empty).count() == 0 and bagminhash.keep_one(empty).count() == 0
 
 
+def test_null_and_tied_ids_keep_their_classes(spark):
+    say = lambda tag, n=60: " ".join(f"{tag}{k}" for k in range(n))
+    near = lambda tag: say(tag) + f" {tag}end"
+    rows = [(None, say("a")), (None, say("b")), (None, say("b")), (None, near("b")), (None, say("c")), (7, say("d")), (8, near("d")), (7, say("e")), (7, near("e")), (9, near("e")), (7, say("f")), (None, near("f"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [r.text for r in bagminhash.keep_one(docs).collect()]
+    assert sorted(x[0] for x in kept) == list("abcdef")
+    got = bagminhash.class_table(docs).collect()
+    assert len(got) == len(rows) and len({r.class_label for r in got}) == 6
+    assert Counter((r.doc_id, r.class_id) for r in got) == Counter({(None, None): 5, (7, 7): 4, (8, 7): 1, (9, 7): 1, (None, 7): 1})
+    sizes = Counter(r.class_label for r in got)
+    assert sorted(sizes.values()) == [1, 1, 2, 2, 3, 3]
+
+
 def test_far_copies_of_one_text(spark):
     """Copies with many edits: some pairs are linked with each other alone, none with the centre."""
     rng = np.random.default_rng(3)
