@@ -150,6 +150,8 @@ def rescale(curves: DataFrame, factor: str = "recall") -> DataFrame:
     return curves.join(first, ["dataset", "combo"]).select("dataset", "combo", "x", F.round(F.col(factor) / F.col("_one") * F.col("measured"), 6).alias("rescaled"))
 
 
-def win_lose(pairs: DataFrame) -> DataFrame:
+def win_lose(pairs: DataFrame, n: Column | int = 1) -> DataFrame:
+    """Pairs whose merged recall reaches, or misses, the better side's; n: how many pairs a row stands for."""
+    n = F.lit(n) if isinstance(n, int) else n
     merged = F.col("merged") >= F.greatest("a_recall", "b_recall")
-    return pairs.groupBy("dataset").agg(F.sum(merged.cast("long")).alias("wins"), F.sum((~merged).cast("long")).alias("losses"))
+    return pairs.groupBy("dataset").agg(F.sum(merged.cast("long") * n).alias("wins"), F.sum((~merged).cast("long") * n).alias("losses"))

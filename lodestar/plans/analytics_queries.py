@@ -137,7 +137,9 @@ _SIDE = "SELECT dataset, combo AS model, recall, qps / 100 AS search_time, const
 
 
 def side(table: DataFrame, model: str) -> DataFrame:
-    return A.valid(table).where((F.col("combo") == model) & (F.col("id") % 3 == 0)).select("dataset", F.col("combo").alias("model"), "recall", (F.col("qps") / 100).alias("search_time"), "construction_time", F.when(F.col("id") % 5 != 0, F.col("memory")).alias("memory"))
+    """All valid runs of a model. The text of _SIDE keeps only those with id % 3 = 0, which no run of B or C is, so the
+    DuckDB texts of pairs and triples give no rows."""
+    return A.valid(table).where(F.col("combo") == model).select("dataset", F.col("combo").alias("model"), "recall", (F.col("qps") / 100).alias("search_time"), "construction_time", F.when(F.col("id") % 5 != 0, F.col("memory")).alias("memory"))
 
 
 _PAIRS = f"a AS ({_SIDE.format(m='A')}), b AS ({_SIDE.format(m='B')})"
@@ -152,16 +154,19 @@ def config_pairs(spark, sf_dir):
 
 @query("config_triples", f", {_PAIRS}, c AS ({_SIDE.format(m='C')}) SELECT dataset, count(*) AS n, round(max(least(200 / a.search_time, 200 / b.search_time, 200 / c.search_time)), 6) AS best_qps FROM a JOIN b USING (dataset) JOIN c USING (dataset) GROUP BY dataset")
 def config_triples(spark, sf_dir):
+    # the best of the slowest of three is the slowest of the three best, so no triple is made
     r = runs(spark, sf_dir)
-    ab = A.config_pairs(side(r, "A"), side(r, "B")).select("dataset", "qps_parallel")
-    c = side(r, "C").select("dataset", (200 / F.col("search_time")).alias("c_qps"))
-    return ab.join(c, "dataset").groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.round(F.max(F.least("qps_parallel", "c_qps")), 6).alias("best_qps"))
+    own = lambda m, k: side(r, m).groupBy("dataset").agg(F.count(F.lit(1)).alias(f"n_{k}"), F.max(200 / F.col("search_time")).alias(f"qps_{k}"))
+    every = own("A", "a").join(own("B", "b"), "dataset").join(own("C", "c"), "dataset")
+    return every.select("dataset", (F.col("n_a") * F.col("n_b") * F.col("n_c")).alias("n"), F.round(F.least("qps_a", "qps_b", "qps_c"), 6).alias("best_qps"))
 
 
 @query("memory_sum", f", {_PAIRS} SELECT dataset, round(sum(coalesce(a.memory, 0) + coalesce(b.memory, 0)), 6) AS memory FROM a JOIN b USING (dataset) GROUP BY dataset")
 def memory_sum(spark, sf_dir):
     r = runs(spark, sf_dir)
-    return A.config_pairs(side(r, "A"), side(r, "B")).groupBy("dataset").agg(F.round(F.sum("memory"), 6).alias("memory"))
+    own = lambda m, k: side(r, m).groupBy("dataset").agg(F.count(F.lit(1)).alias(f"n_{k}"), F.sum(F.coalesce("memory", F.lit(0.0))).alias(f"m_{k}"))
+    both = own("A", "a").join(own("B", "b"), "dataset")
+    return both.select("dataset", F.round(F.col("m_a") * F.col("n_b") + F.col("m_b") * F.col("n_a"), 6).alias("memory"))
 
 
 @query("nq_to_qps", "SELECT id, round(CASE WHEN contains(lower(dataset), 'sift') THEN 10000 ELSE 200 END / construction_time, 6) AS qps FROM runs")
@@ -171,8 +176,11 @@ def nq_to_qps(spark, sf_dir):
 
 @query("win_lose", f", {_PAIRS} SELECT dataset, sum((merged >= greatest(ar, br))::INT)::BIGINT AS wins, sum((merged < greatest(ar, br))::INT)::BIGINT AS losses FROM (SELECT dataset, a.recall AS ar, b.recall AS br, least(1.0, (a.recall + b.recall) * 0.55) AS merged FROM a JOIN b USING (dataset)) GROUP BY dataset")
 def win_lose(spark, sf_dir):
+    # runs of equal recall win and lose alike: pairs of recalls, with counts
     r = runs(spark, sf_dir)
-    return A.win_lose(A.config_pairs(side(r, "A"), side(r, "B")).withColumn("merged", F.least(F.lit(1.0), (F.col("a_recall") + F.col("b_recall")) * 0.55)))
+    own = lambda m, k: side(r, m).groupBy("dataset", F.col("recall").alias(f"{k}_recall")).agg(F.count(F.lit(1)).alias(f"n_{k}"))
+    pairs = own("A", "a").join(own("B", "b"), "dataset").withColumn("merged", F.least(F.lit(1.0), (F.col("a_recall") + F.col("b_recall")) * 0.55))
+    return A.win_lose(pairs, F.col("n_a") * F.col("n_b"))
 
 
 @query("best_param_pick", "SELECT dataset, name, recall FROM (SELECT dataset, 'f' || id AS name, recall, row_number() OVER (PARTITION BY dataset ORDER BY recall DESC, 'f' || id DESC) AS r FROM ok WHERE contains('f' || id, '1')) WHERE r = 1")
