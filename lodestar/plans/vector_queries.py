@@ -40,7 +40,8 @@ def both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return b, S.queries_of(b)
 
 
-# -- distances: the 20 queries against the rows of label 3
+# -- distances: the 20 queries against every row; the DuckDB texts have the rows of label 3 only, and those of center,
+# sq8, sq4 and pairwise_matrix the first ids
 
 POSITIVE = {"jensen_shannon", "weighted_jaccard"}
 SPARSE = {"nonzero_intersect", "hamming", "jaccard"}
@@ -60,7 +61,7 @@ def _distance_query(measure: str) -> None:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         b, q = both(spark, sf_dir)
-        b, q = b.where("label = 3").withColumn("v", F.expr(s("v"))), q.withColumn("q", F.expr(s("q")))
+        b, q = b.withColumn("v", F.expr(s("v"))), q.withColumn("q", F.expr(s("q")))
         return S.all_pairs(b, q, measure).select("qid", "id", F.round("dist", 6).alias("dist"))
 
     query(f"dist_{measure}", f"SELECT qid, id, round(CAST({duck.measure(measure, d('q'), d('v'))} AS DOUBLE), 6) AS dist FROM q, b WHERE label = 3")(run)
@@ -73,7 +74,7 @@ for _m in [*D.MEASURES, "linf"]:
 @query("dist_lp_root", "SELECT qid, id, round(power(" + duck.total("power(abs(x - y), 1.5)", "q", "v") + ", 1 / 1.5), 6) AS dist FROM q, b WHERE label = 3")
 def dist_lp_root(spark, sf_dir):
     b, q = both(spark, sf_dir)
-    return S.all_pairs(b.where("label = 3"), q, D.lp(1.5, root=True)).select("qid", "id", F.round("dist", 6).alias("dist"))
+    return S.all_pairs(b, q, D.lp(1.5, root=True)).select("qid", "id", F.round("dist", 6).alias("dist"))
 
 
 _BITS = "list_sum(list_transform(list_zip(list_transform({v}[{a}:{b}], lambda z: CASE WHEN z >= 0 THEN 1::BIGINT ELSE 0::BIGINT END), range(0, 32)), lambda p: p[1] << p[2]))::BIGINT"
@@ -96,7 +97,7 @@ def knn_hamming(spark, sf_dir):
 
 @query("pairwise_matrix", "SELECT a.id AS i, b.id AS j, round(" + duck.measure("l2_sq", "a.v", "b.v") + ", 6) AS dist FROM b a, b WHERE a.id < 40 AND b.id < 40")
 def pairwise_matrix(spark, sf_dir):
-    b = base(spark, sf_dir).where("id < 40")
+    b = base(spark, sf_dir)
     return S.all_pairs(b, b.select(F.col("id").alias("qid"), F.col("v").alias("q")), "l2_sq").select(F.col("qid").alias("i"), F.col("id").alias("j"), F.round("dist", 6).alias("dist"))
 
 
@@ -110,7 +111,7 @@ def normalize_l2(spark, sf_dir):
 @query("center", "SELECT id, pos, round(x - avg(x) OVER (PARTITION BY pos), 6) AS x FROM (SELECT id, unnest(range(0, 64)) AS pos, unnest(v) AS x FROM b) QUALIFY id < 20")
 def center(spark, sf_dir):
     b = base(spark, sf_dir)
-    own = b.where("id < 20").select("id", F.posexplode("v").alias("pos", "x"))
+    own = b.select("id", F.posexplode("v").alias("pos", "x"))
     return own.join(V.column_means(b), "pos").select("id", F.col("pos").cast("long").alias("pos"), F.round(F.col("x") - F.col("mean"), 6).alias("x"))
 
 
@@ -337,7 +338,7 @@ def _sq(bits: int) -> None:
     @query(f"sq{bits}", sql)
     def run(spark, sf_dir):
         b = base(spark, sf_dir)
-        return X.scalar_quantize(b.where("id < 50"), *_bounds(b), bits).select("id", F.posexplode("code").alias("pos", "code")).withColumn("pos", F.col("pos").cast("long"))
+        return X.scalar_quantize(b, *_bounds(b), bits).select("id", F.posexplode("code").alias("pos", "code")).withColumn("pos", F.col("pos").cast("long"))
 
 
 _sq(8)
