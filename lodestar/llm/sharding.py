@@ -30,18 +30,26 @@ def scatter(rows: DataFrame, buckets: int, seed: int) -> DataFrame:
     return rows.select(bucket.alias("_bucket"), F.struct(*[c.alias(f"c{k}") for k, c in enumerate(own)]).alias("_row"))
 
 
+def record_bytes(rows: DataFrame) -> Column:
+    """The size of a whole record: its texts' and binaries' bytes, and 64 for the rest."""
+    long = [f.name for f in rows.schema.fields if f.dataType.simpleString() in ("string", "binary")]
+    return sum((F.coalesce(F.octet_length(f"`{c}`"), F.lit(0)).cast("long") for c in long), F.lit(64))
+
+
 def external_shuffle(rows: DataFrame, seed: int, row_bytes: Column | None = None, bucket_bytes: int = BUCKET_BYTES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Adds `position`: a uniformly random order of all rows. row_bytes: the size of a row, 64 where none is given."""
-    spark, columns = rows.sparkSession, rows.columns
-    size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes if row_bytes is not None else F.lit(64)).alias("b")).first()
+    """Adds `position`: a uniformly random order of all rows. row_bytes: the size of a row, record_bytes where none is given."""
+    columns = rows.columns
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(record_bytes(rows) if row_bytes is None else row_bytes).alias("b")).first()
     buckets = max(1, -(-size.n // bucket_rows), -(-(size.b or 0) // bucket_bytes))
-    tasks = min(buckets, max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 64))
-    whole = scatter(rows, buckets, seed).repartition(tasks, "_bucket").groupBy("_bucket").agg(F.collect_list("_row").alias("_rows"))
+    # a task gathers all of its buckets before it writes one, so about one bucket a task
+    whole = scatter(rows, buckets, seed).repartition(buckets, "_bucket").groupBy("_bucket").agg(F.collect_list("_row").alias("_rows"))
     # rows and buckets in a fixed order before the seeded shuffle: a task that runs again gives the same result
     whole = whole.withColumn("_rows", F.sort_array("_rows")).sortWithinPartitions("_bucket")
-    mixed = _shared.materialize(whole.select("_bucket", F.size("_rows").cast("long").alias("_n"), F.shuffle("_rows", F.lit(seed)).alias("_rows")), "buckets")
-    starts = mixed.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_start"))
-    out = mixed.join(starts, "_bucket").select("_start", F.posexplode("_rows").alias("_k", "_row"))
+    # written row by row: a file of whole buckets would be read with all of a bucket's records at once
+    mixed = _shared.materialize(whole.select("_bucket", F.posexplode(F.shuffle("_rows", F.lit(seed))).alias("_k", "_row")), "buckets")
+    counts = mixed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_start"))
+    out = mixed.join(F.broadcast(starts), "_bucket")
     return out.select(*[F.col(f"_row.c{k}").alias(c) for k, c in enumerate(columns)], (F.col("_start") + F.col("_k")).alias("position"))
 
 
@@ -59,7 +67,8 @@ def write_shards(rows: DataFrame, path: str, shards: int, seed: int = 11, row_by
 
 
 def op3_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole records, all columns of documents, are shuffled and sharded; size and checksum are those of the sharded text."""
+    docs = _shared.table(spark, sf_dir, "documents")
+    out = shard_rows(docs, SHARDS, row_bytes=record_bytes(docs))
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = _shared.table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    out = shard_rows(rows, SHARDS)
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return out.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

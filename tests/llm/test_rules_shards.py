@@ -52,6 +52,29 @@ def test_shards(spark, docs, clashing, empty):
     assert sharding.shard_rows(empty, 5).count() == 0
 
 
+def test_whole_records_are_sharded(spark, docs, tmp_path, monkeypatch):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    put, seen = sharding.external_shuffle, []
+
+    def shuffle(rows, *a, **b):
+        seen.append(put(rows, *a, **b))
+        return seen[-1]
+
+    monkeypatch.setattr(sharding, "external_shuffle", shuffle)
+    out = sharding.op3_two_pass_shuffle(spark, str(tmp_path)).collect()
+    key = lambda r: (r.doc_id is None, r.doc_id, r.text is None, r.text)
+    assert sorted((r for r in seen[0].drop("position").collect()), key=key) == sorted(docs.collect(), key=key)
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in out) == Counter((r.doc_id, len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode())) for r in docs.collect())
+
+
+def test_buckets_follow_the_bytes(spark, monkeypatch):
+    put, seen = sharding.scatter, []
+    monkeypatch.setattr(sharding, "scatter", lambda rows, buckets, seed: seen.append(buckets) or put(rows, buckets, seed))
+    rows = spark.range(40).selectExpr("id", "repeat('x', 1000) AS t")
+    assert sharding.external_shuffle(rows, 3, bucket_bytes=4096).count() == 40
+    assert seen == [11]  # 40 records of 1064 bytes
+
+
 def test_order_is_random(spark):
     rows = spark.range(4000).selectExpr("id", "'x' AS t")
     out = [r.id for r in sharding.external_shuffle(rows, 3, bucket_rows=500).orderBy("position").collect()]
