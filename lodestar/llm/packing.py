@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -123,7 +124,7 @@ def pack_parts(pieces: DataFrame, capacity: int, round_no: int) -> DataFrame:
             given[np.argsort(fill, kind="stable")[: max(2, 2 * gap)]] = True
         part = table.column("part")[0].as_py()
         table = table.drop_columns([c for c in ("sequence_id", "offset", "bound", "bins", "given") if c in table.column_names])
-        for name, x in (("sequence_id", (round_no << 56) + (part << 28) + bins), ("offset", offsets), ("bound", np.full(len(bins), bound)), ("bins", np.full(len(bins), len(fill))), ("given", given[bins])):
+        for name, x in (("sequence_id", (round_no << 48) + (part << 24) + bins), ("offset", offsets), ("bound", np.full(len(bins), bound)), ("bins", np.full(len(bins), len(fill))), ("given", given[bins])):
             table = table.append_column(name, pa.array(x))
         return table
 
@@ -132,12 +133,13 @@ def pack_parts(pieces: DataFrame, capacity: int, round_no: int) -> DataFrame:
     return pieces.groupBy("part").applyInArrow(run, schema)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PIECES, rounds: int = 4) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PIECES) -> DataFrame:
     """Adds sequence_id and offset to rows that have a length and a part. What a round gives up is a few bins of each
-    part, so the pool shrinks with the number of parts and the last rounds run on one part."""
+    part, so the pool shrinks with the number of parts and the last rounds run on one part. Each round but the last
+    saves a bin, so they end."""
     now = _shared.materialize(pack_parts(pieces, capacity, 0), "packed")
     settled: list[DataFrame] = []
-    for r in range(1, rounds + 1):
+    for r in count(1):
         parts = now.select("part", "bound", "bins").distinct()
         totals = parts.agg(F.sum("bins").alias("bins"), F.sum("bound").alias("bound"), F.count(F.lit(1)).alias("parts")).first()
         given = now.where("given")

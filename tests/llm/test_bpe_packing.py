@@ -68,6 +68,22 @@ def test_best_fit_and_bounds():
     assert packing.lower_bound(np.array([60] * 7), 100) == 7
 
 
+def test_rounds_go_on_while_bins_are_saved(spark, monkeypatch):
+    """A packer that saves one bin a round for seven rounds, then none."""
+    seen = []
+
+    def parts(pieces, capacity, round_no):
+        seen.append(round_no)
+        bins = 12 - min(round_no, 7)
+        now = pieces.drop("sequence_id", "offset", "bound", "bins", "given")
+        return now.selectExpr("*", f"(cast({round_no} as long) << 48) + least(key, {bins - 1}) AS sequence_id", "key AS offset", "1L AS bound", f"{bins}L AS bins", "true AS given")
+
+    monkeypatch.setattr(packing, "pack_parts", parts)
+    pieces = spark.range(12).selectExpr("id AS key", "1L AS length", "id % 3 AS part")
+    rows = packing.pack(pieces, 100, 5).collect()
+    assert seen == list(range(9)) and len(rows) == 12 and len({r.sequence_id for r in rows}) == 5
+
+
 def test_packing(spark, docs, clashing, empty):
     for part_pieces in (60_000, 7):
         rows = packing.pack_documents(docs, PATH, capacity=256, part_pieces=part_pieces).collect()
