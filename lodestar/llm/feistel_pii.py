@@ -218,7 +218,7 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFra
     """docs with `text` replaced and the column `_n_values` of values changed in it."""
     body = F.col(f"`{text}`")
     # texts without an address sign, a digit pair or a long run of hexadecimal digits can't hold any value
-    found = F.when(body.rlike("@|[0-9][0-9. -]?[0-9]|[A-Fa-f]{32}"), found_values(body))
+    found = F.when(body.rlike("@|[0-9][0-9. -]?[0-9]|[0-9A-Fa-f]{32}"), found_values(body))
 
     def run(m: Column) -> Column:
         new = F.transform(m, lambda x: pseudonym(x, key))

@@ -152,6 +152,13 @@ def test_pseudonyms(spark, docs, clashing, empty):
     assert feistel_pii.replace_pii(docs).count() == docs.count()
 
 
+def test_hexadecimal_keys_without_digit_pairs(spark):
+    keys = ["a1b2c3d4e5f6" * 3, "A1B2C3D4E5F6" * 3, "abcdef" * 6]
+    docs = spark.createDataFrame([(k, f"the key {x} is secret") for k, x in enumerate(keys)], "doc_id long, text string")
+    for r in feistel_pii.pseudonymise(docs).collect():
+        assert r._n_values == 1 and keys[r.doc_id] not in r.text
+
+
 def test_feistel_is_a_permutation(spark):
     from pyspark.sql import functions as F
 
