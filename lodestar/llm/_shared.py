@@ -6,6 +6,7 @@ import ctypes
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 from urllib.parse import urlparse
 
 import numpy as np
@@ -16,10 +17,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
+#: Arrow batches end at so many bytes, not only at a number of rows: rows may be very long.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+#: A written step's shuffle files go as soon as it is written.
+CLEAN_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _C = ctypes.CDLL(None)
 
 
+def bounded(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes for the session, unless it has a bound of its own."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -37,13 +49,27 @@ def shared_path(spark: SparkSession, tag: str) -> str:
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df into the shared folder and reads it again: cuts the lineage, and lost executors cost no recomputation."""
+    """Writes df into the shared folder and reads it again: cuts the lineage, and lost executors cost no recomputation.
+    The shuffle files of the step are given up with it."""
     spark = df.sparkSession
+    bounded(spark)
     path = shared_path(spark, tag)
-    df.write.parquet(path)
+    with cleaned(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def cleaned(spark: SparkSession):
+    """What runs within gives up its shuffle files when it has ended."""
+    was = spark.conf.get(CLEAN_SETTING, None)
+    spark.conf.set(CLEAN_SETTING, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEAN_SETTING) if was is None else spark.conf.set(CLEAN_SETTING, was)
+
+
 def local_path(uri: str) -> str:
     """The path under which workers see a shared folder; it must be mounted on every machine."""
     at = urlparse(uri)
@@ -64,6 +90,7 @@ def unwrapped(docs: DataFrame, columns: list[str], **new) -> DataFrame:
 
 def input_bytes(docs: DataFrame, column: str = "text") -> tuple[int, int]:
     """Rows and UTF-8 bytes of a text column; a partial aggregate with one row to the driver."""
+    bounded(docs.sparkSession)
     row = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(column).cast("long")).alias("b")).first()
     return row.n, row.b or 0
 
