@@ -1,8 +1,14 @@
 """Host-level quality rules, with DataFrame functions only.
 
 Rules are checked on each document, failures are counted by host (`source`), each host's failure rate is shrunk towards
-all hosts' by an empirical beta prior (fitted by moments to the hosts' rates), and the host's verdict is joined back to
-its documents. A document is kept if it fails no rule itself and its host's shrunken rate is not over the limit.
+all hosts' by an empirical beta prior, and the host's verdict is joined back to its documents. A document is kept if it
+fails no rule itself and its host is not rejected.
+
+The prior's mean m is the rate of all rows with a host, its strength follows from the hosts' weighted second moment less
+what sampling alone explains (so hosts that differ by chance only are shrunk to the mean). A host is rejected if its
+posterior lies over the limit, twice the mean or half of the way from the mean to 1, the lower of them, with some 95 %:
+the posterior's mean is over the limit by 1.645 of its deviations. Limit and shrinkage follow the corpus; where hosts do
+not differ, none is rejected.
 
 Rules: under 50 words; over half of the words in repeated three-word windows; more symbols than words; over half of the
 lines with words repeat earlier ones. The first two are the base.
@@ -22,7 +28,10 @@ from pyspark.sql import functions as F
 from lodestar.llm import _shared
 
 LEAST_WORDS = 50
-HOST_LIMIT = 0.5
+#: A rejected host's rate is over so many times the mean, by so many deviations of the posterior.
+TIMES, DEVIATIONS = 2.0, 1.645
+#: The prior's strength where the hosts' rates differ by no more than sampling explains.
+NO_SPREAD = 1e6
 #: Rejected hosts up to this number are broadcast (some MB); more are joined by a salted shuffle.
 BROADCAST_HOSTS = 100_000
 SALTS = 32
@@ -80,15 +89,25 @@ def document_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     return counted.withColumns({"base_failed": base, "rule_failed": rule})
 
 
-def rejected_hosts(judged: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
-    """Hosts whose failure rate, shrunk by the empirical beta prior, is over the limit; one row each."""
-    hosts = judged.where(F.col(host).isNotNull()).groupBy(F.col(host).alias("_host")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("rule_failed").cast("long")).alias("failed"))
-    hosts = _shared.materialize(hosts, "hosts")
-    rate = F.col("failed") / F.col("n")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v")).first()
-    m, v = prior.m or 0.0, prior.v or 0.0
-    strength = max(1.0, m * (1 - m) / v - 1) if v > 0 else 1e6
-    return hosts.where((F.col("failed") + m * strength) / (F.col("n") + strength) > limit).select("_host")
+def host_counts(judged: DataFrame, host: str = "source") -> DataFrame:
+    """(_host, n, failed) of rows with a host."""
+    return judged.where(F.col(host).isNotNull()).groupBy(F.col(host).alias("_host")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("rule_failed").cast("long")).alias("failed"))
+
+
+def rejected_hosts(hosts: DataFrame, times: float = TIMES, deviations: float = DEVIATIONS) -> DataFrame:
+    """Of hosts (_host, n, failed) those whose failure rate, shrunk by the empirical beta prior, is over the limit."""
+    n, failed = F.col("n").cast("double"), F.col("failed").cast("double")
+    sums = hosts.agg(F.count(F.lit(1)).alias("k"), F.sum(n).alias("n"), F.sum(failed).alias("f"), F.sum(n * n).alias("nn"), F.sum(failed * failed / n).alias("ff")).first()
+    total = sums.n or 0.0
+    m = sums.f / total if total else 0.0
+    strength, free = NO_SPREAD, (total - sums.nn / total - (sums.k - 1)) if total else 0.0
+    if 0 < m < 1 and free > 0:
+        # the share of the rates' variance that is not sampling, of the beta-binomial's moments
+        share = (sums.ff - total * m * m - m * (1 - m) * (sums.k - 1)) / (m * (1 - m) * free)
+        if share > 0:
+            strength = min(NO_SPREAD, max(1.0, (1 - share) / share))
+    rate = (failed + m * strength) / (n + strength)
+    return hosts.where(rate - deviations * F.sqrt(rate * (1 - rate) / (n + strength + 1)) > min(times * m, (1 + m) / 2)).select("_host")
 
 
 def join_verdicts(judged: DataFrame, rejected: DataFrame, host: str = "source") -> DataFrame:
@@ -105,15 +124,23 @@ def join_verdicts(judged: DataFrame, rejected: DataFrame, host: str = "source")
 def judge(docs: DataFrame, text: str = "text", host: str = "source", carry: list[str] | None = None) -> DataFrame:
     """Counts, failures and `kept` of every document, with the named columns; the counts are written once."""
     judged = _shared.materialize(document_rules(docs, text).select(*(carry or ["doc_id", host]), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "base_failed", "rule_failed"), "rules")
-    out = join_verdicts(judged, rejected_hosts(judged, host), host)
+    hosts = _shared.materialize(host_counts(judged, host), "hosts")
+    out = join_verdicts(judged, rejected_hosts(hosts), host)
     return out.withColumn("kept", ~F.col("rule_failed") & ~F.col("host_rejected"))
 
 
 def filter_documents(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """The documents that are kept, with their own columns; rules are checked twice, so that no text is written or moved."""
+    """The documents that are kept, with their own columns. Rules are checked once: rows that pass are written, and a
+    host's failures are its rows less those."""
     judged = document_rules(_shared.wrapped(docs, text=F.col(text), source=F.col(host)))
-    out = join_verdicts(judged.where(~F.col("rule_failed")), rejected_hosts(judged))
-    return _shared.unwrapped(out.where(~F.col("host_rejected")), docs.columns)
+    passed = _shared.materialize(judged.where(~F.col("rule_failed")).select("_row", "source"), "passed")
+    every = docs.where(F.col(host).isNotNull()).groupBy(F.col(host).alias("_host")).agg(F.count(F.lit(1)).alias("n"))
+    good = passed.where("source IS NOT NULL").groupBy(F.col("source").alias("_good")).agg(F.count(F.lit(1)).alias("passed"))
+    hosts = every.join(good, F.col("_host") == F.col("_good"), "left").select("_host", "n", (F.col("n") - F.coalesce("passed", F.lit(0))).alias("failed"))
+    rejected = rejected_hosts(_shared.materialize(hosts, "hosts"))
+    if rejected.isEmpty():
+        return _shared.unwrapped(passed, docs.columns)
+    return _shared.unwrapped(join_verdicts(passed, rejected).where(~F.col("host_rejected")), docs.columns)
 
 
 def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,9 +161,12 @@ f AS (SELECT w.doc_id, source, len(ws) AS n_words, length(array_to_string(ws, ''
 j AS (SELECT *, n_lines - n_own AS n_dup_lines, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
 k AS (SELECT *, base_failed OR n_symbols > n_words OR 2 * n_dup_lines > n_lines AS rule_failed FROM j),
 h AS (SELECT source, count(*) AS n, sum(rule_failed::INT) AS failed FROM k WHERE source IS NOT NULL GROUP BY source),
-m AS (SELECT avg(failed::DOUBLE / n) AS m, var_pop(failed::DOUBLE / n) AS v FROM h),
-s AS (SELECT m, CASE WHEN v > 0 THEN greatest(1.0, m * (1 - m) / v - 1) ELSE 1e6 END AS s FROM m),
-bad AS (SELECT source FROM h, s WHERE (failed + m * s) / (n + s) > 0.5)
+t AS (SELECT count(*)::DOUBLE AS k, sum(n)::DOUBLE AS n, sum(failed)::DOUBLE AS f, sum(n::DOUBLE * n) AS nn, sum(failed::DOUBLE * failed / n) AS ff FROM h),
+m AS (SELECT *, f / n AS m, n - nn / n - (k - 1) AS free FROM t),
+sh AS (SELECT *, CASE WHEN m > 0 AND m < 1 AND free > 0 THEN (ff - n * m * m - m * (1 - m) * (k - 1)) / (m * (1 - m) * free) ELSE 0 END AS share FROM m),
+s AS (SELECT m, CASE WHEN share > 0 THEN least(1e6, greatest(1.0, (1 - share) / share)) ELSE 1e6 END AS s FROM sh),
+r AS (SELECT source, n, s, (failed + m * s) / (n + s) AS rate, least(2 * m, (1 + m) / 2) AS top FROM h, s),
+bad AS (SELECT source FROM r WHERE rate - 1.645 * sqrt(rate * (1 - rate) / (n + s + 1)) > top)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT rule_failed AND (source IS NULL OR source NOT IN (SELECT source FROM bad)) AS kept FROM k
 """

@@ -34,6 +34,23 @@ def test_bad_host_goes(spark):
     assert kept == {1000 + k for k in range(200)}
 
 
+def test_good_documents_of_a_bad_host_go(spark):
+    """One host of twenty fails far more often than the others: its good documents go with it, all other good ones stay."""
+    good = " ".join(f"w{k}" for k in range(80))
+    rows = [(100 * h + k, "short" if k < (30 if h == 7 else 5) else good, f"h{h}") for h in range(20) for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = {k for k, t, h in rows if t == good and h != "h7"}
+    assert {r.doc_id for r in host_rules.filter_documents(docs).collect()} == want
+    assert {r.doc_id for r in host_rules.judge(docs).where("kept").collect()} == want
+
+
+def test_hosts_that_differ_by_chance_stay(spark):
+    good = " ".join(f"w{k}" for k in range(80))
+    rows = [(100 * h + k, "short" if (h * 31 + k * 17) % 7 == 0 else good, f"h{h}") for h in range(20) for k in range(40 + h)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert host_rules.filter_documents(docs).count() == sum(t == good for _, t, _ in rows)
+
+
 def test_salted_verdicts(spark, monkeypatch):
     monkeypatch.setattr(host_rules, "BROADCAST_HOSTS", -1)
     test_bad_host_goes(spark)
