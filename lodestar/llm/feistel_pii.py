@@ -9,7 +9,10 @@ separators and lengths stay, and equal values get equal pseudonyms in all docume
 - social security numbers, by the valid areas, groups and serials; phone numbers, all digits
 - dates between 1800-01-01 and 2199-12-31, by the day's number; IPv4 addresses, all 32 bits
 - hexadecimal keys of 32 digits and more, digit by digit; runs of 13 to 19 digits that fail the card checksum stay
-- e-mail addresses: letters and digits of the local part, under the domain example.com
+- e-mail addresses, in lower case: the letters and the digits, each kind in its places, of all but the last label
+
+The key is the caller's: an argument, or the session's setting KEY_SETTING. There is none in the code; the registered
+query and the pipeline draw a random one for a session that sets none, so their pseudonyms link values within the session.
 
 The network has eight rounds over two parts a and b of a mixed-radix number: a = (a + F(b)) mod A, then b = (b + F(a))
 mod B, with F from SHA-256 over key, format, round and the other part.
@@ -20,6 +23,7 @@ result; nulls in other columns do not matter; an empty table gives no rows; colu
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,7 +32,8 @@ from pyspark.sql import functions as F
 from lodestar.llm import _shared
 from lodestar.llm.host_rules import let
 
-KEY = "lodestar-pseudonym-key"
+#: Spark redacts settings with this ending from its logs.
+KEY_SETTING = "spark.lodestar.pseudonym.secret"
 ROUNDS = 8
 # The formats, in the order in which they are tried at a place.
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
@@ -42,6 +47,13 @@ CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 ANY = "|".join((EMAIL, IBAN, HEX, IPV4, DATE, SSN, PHONE, CARD))
 
 
+def session_key(spark: SparkSession) -> str:
+    """The session's key; a random one, kept for the session, where none is set."""
+    if not spark.conf.get(KEY_SETTING, ""):
+        spark.conf.set(KEY_SETTING, secrets.token_hex(32))
+    return spark.conf.get(KEY_SETTING)
+
+
 def keyed(key: str, kind: str, round_no: int, part: Column) -> Column:
     """A 56-bit keyed number."""
     return F.conv(F.substring(F.sha2(F.concat(F.lit(f"{key}|{kind}|{round_no}|"), part.cast("string")), 256), 1, 14), 16, 10).cast("long")
@@ -66,7 +78,7 @@ def feistel(a: Column, b: Column, size_a: Column | int, size_b: Column | int, ke
 
 
 def permute_digits(digits: Column, key: str, kind: str, radix: int = 10) -> Column:
-    """A permutation of the digit strings of each length; longer ones than 24 in blocks of 24."""
+    """A permutation of the digit strings of each length; longer ones than 24 (22 beyond radix 16) in blocks of that."""
 
     def whole(d: Column) -> Column:
         half = F.floor(F.length(d) / 2).cast("int")
@@ -80,17 +92,25 @@ def permute_digits(digits: Column, key: str, kind: str, radix: int = 10) -> Colu
 
         return let(F.struct(F.substr(d, F.lit(1), half).alias("x"), F.substr(d, half + 1).alias("y")), run)
 
-    block = 24
+    block = 24 if radix <= 16 else 22  # a half's numbers are exact in a double
     parts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(digits) - 1) / block).cast("int"))), lambda k: let(F.substr(digits, k * block + 1, F.lit(block)), whole))
     return F.array_join(parts, "")
 
 
-def into_places(shape: Column, digits: Column) -> Column:
-    """Puts digits, one after another, into the places of shape that hold digits."""
+_LETTERS, _AS_NUMBERS = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnop"
+
+
+def permute_letters(letters: Column, key: str, kind: str) -> Column:
+    """A permutation of the strings of small letters of each length."""
+    return F.translate(permute_digits(F.translate(letters, _LETTERS, _AS_NUMBERS), key, kind, 26), _AS_NUMBERS, _LETTERS)
+
+
+def into_places(shape: Column, digits: Column, kind: str = "[0-9]") -> Column:
+    """Puts digits, one after another, into the places of shape that hold digits (or another kind of characters)."""
     return F.aggregate(
         F.split(shape, ""),
         F.struct(F.lit("").alias("s"), F.lit(1).alias("k")),
-        lambda a, c: F.when(c.rlike("[0-9]"), F.struct(F.concat(a["s"], F.substr(digits, a["k"], F.lit(1))).alias("s"), (a["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(a["s"], c).alias("s"), a["k"].alias("k"))),
+        lambda a, c: F.when(c.rlike(kind), F.struct(F.concat(a["s"], F.substr(digits, a["k"], F.lit(1))).alias("s"), (a["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(a["s"], c).alias("s"), a["k"].alias("k"))),
         lambda a: a["s"],
     )
 
@@ -125,8 +145,9 @@ def _iban(m: Column, key: str) -> Column:
     def run(d: Column) -> Column:
         country, body = F.substr(d, F.lit(1), F.lit(2)), F.substr(d, F.lit(5))
         digits = permute_digits(F.regexp_replace(body, "[^0-9]", ""), key, "iban")
+        capitals = F.upper(permute_letters(F.lower(F.regexp_replace(body, "[^A-Z]", "")), key, "iban-letters"))
         new = let(digits, lambda n: into_places(body, n))
-        letters = F.array_join(F.transform(F.split(new, ""), lambda c, k: F.when(c.rlike("[A-Z]"), F.char((65 + F.pmod(F.ascii(c) - 65 + keyed(key, "iban-letter", 0, k), F.lit(26))).cast("int"))).otherwise(c)), "")
+        letters = let(F.struct(new.alias("n"), capitals.alias("c")), lambda x: into_places(x["n"], x["c"], "[A-Z]"))
         check = let(letters, lambda x: F.concat(country, F.lpad((98 - mod97(F.concat(x, country, F.lit("00")))).cast("string"), 2, "0"), x))
         spaced = let(check, lambda x: F.aggregate(F.split(m, ""), F.struct(F.lit("").alias("s"), F.lit(1).alias("k")), lambda a, c: F.when(c == " ", F.struct(F.concat(a["s"], c).alias("s"), a["k"].alias("k"))).otherwise(F.struct(F.concat(a["s"], F.substr(x, a["k"], F.lit(1))).alias("s"), (a["k"] + 1).alias("k"))), lambda a: a["s"]))
         return F.when(mod97(F.concat(body, F.substr(d, F.lit(1), F.lit(4)))) == 1, spaced).otherwise(m)
@@ -168,13 +189,16 @@ def _ipv4(m: Column, key: str) -> Column:
 
 
 def _email(m: Column, key: str) -> Column:
-    """The local part's shape, filled from a keyed hash of the whole address."""
+    """All but the last label, as one word of letters and one of digits; the address is told apart without case."""
 
-    def run(h: Column) -> Column:
-        local = F.transform(F.split(F.split(m, "@")[0], ""), lambda c, k: let(F.conv(F.substr(h, F.pmod(k, F.lit(60)) + 1, F.lit(4)), 16, 10).cast("long"), lambda n: F.when(c.rlike("[A-Za-z]"), F.char((97 + F.pmod(n, F.lit(26))).cast("int"))).when(c.rlike("[0-9]"), F.pmod(n, F.lit(10)).cast("string")).otherwise(c)))
-        return F.concat(F.array_join(local, ""), F.lit("-"), F.left(h, F.lit(8)), F.lit("@example.com"))
+    def run(x: Column) -> Column:
+        head, tail = F.regexp_extract(x, r"^(.*)\.[^.]*$", 1), F.regexp_extract(x, r"(\.[^.]*)$", 1)
+        letters = permute_letters(F.regexp_replace(head, "[^a-z]", ""), key, "email")
+        digits = permute_digits(F.regexp_replace(head, "[^0-9]", ""), key, "email-digits")
+        filled = let(F.struct(digits.alias("d"), letters.alias("l")), lambda n: let(into_places(head, n["d"]), lambda h: into_places(h, n["l"], "[a-z]")))
+        return F.concat(filled, tail)
 
-    return let(F.sha2(F.concat(F.lit(f"{key}|email|"), F.lower(m)), 256), run)
+    return let(F.lower(m), run)
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -191,7 +215,7 @@ def kind_of(m: Column) -> Column:
     return F.when(m.contains("@"), "email").when(whole(IBAN), "iban").when(whole(HEX), "hex").when(whole(IPV4), "ipv4").when(whole(DATE), "date").when(whole(SSN), "ssn").when(whole(PHONE), "phone").otherwise("card")
 
 
-def pseudonym(m: Column, key: str = KEY) -> Column:
+def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of one found value; the value itself where its validation fails."""
 
     def run(k: Column) -> Column:
@@ -214,8 +238,10 @@ def replace_values(text: Column, found: Column, new: Column) -> Column:
     return F.array_join(F.zip_with(between, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """docs with `text` replaced and the column `_n_values` of values changed in it."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
     body = F.col(f"`{text}`")
     # texts without an address sign, a digit pair or a long run of hexadecimal digits can't hold any value
     found = F.when(body.rlike("@|[0-9][0-9. -]?[0-9]|[0-9A-Fa-f]{32}"), found_values(body))
@@ -228,13 +254,13 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFra
     return both.withColumns({text: F.coalesce("_new.text", body), "_n_values": F.coalesce("_new.n", F.lit(0).cast("long"))}).drop("_new")
 
 
-def replace_pii(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
+def replace_pii(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """The documents with their own columns; n_chars follows the text."""
-    out = pseudonymise(_shared.wrapped(docs, text=F.col(f"`{text}`")), "text", key)
+    out = pseudonymise(_shared.wrapped(docs, text=F.col(f"`{text}`")), key)
     new = {text: F.col("text")} | ({"n_chars": F.char_length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return _shared.unwrapped(out, docs.columns, **new)
 
 
 def op6_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pseudonymise(_shared.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = pseudonymise(_shared.table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))
     return out.select("doc_id", "text", F.col("_n_values").alias("n_values"))

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 import re
@@ -140,7 +141,7 @@ def luhn(digits):
 
 def test_pseudonyms(spark, docs, clashing, empty):
     df = spark.createDataFrame([*enumerate(TEXTS)], "doc_id long, text string")
-    out = {r.doc_id: r for r in feistel_pii.pseudonymise(df).collect()}
+    out = {r.doc_id: r for r in feistel_pii.pseudonymise(df, 'k').collect()}
     assert [out[k]._n_values for k in range(len(TEXTS))] == [2, 1, 2, 1, 1, 1, 1, 1, 0, 0, 0]
     one, two = re.search(r"card (.*) and (\d+), bad (\d+)", out[0].text).groups()[:2]
     assert one.replace(" ", "") == two != "4111111111111111" and luhn(two) and "4111111111111112" in out[0].text
@@ -148,14 +149,14 @@ def test_pseudonyms(spark, docs, clashing, empty):
     assert iban[:2] == "DE" and len(iban) == 22 and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
     assert re.fullmatch(r"ssn \d{3}-\d\d-\d{4} 000-12-3456", out[5].text) and re.fullmatch(r"\+\d \(\d{3}\) \d{3}-\d{4}", out[6].text)
     assert out[9].text is None and out[10].text == TEXTS[10]
-    assert feistel_pii.replace_pii(clashing).columns == clashing.columns and feistel_pii.replace_pii(empty).count() == 0
-    assert feistel_pii.replace_pii(docs).count() == docs.count()
+    assert feistel_pii.replace_pii(clashing, 'k').columns == clashing.columns and feistel_pii.replace_pii(empty, 'k').count() == 0
+    assert feistel_pii.replace_pii(docs, 'k').count() == docs.count()
 
 
 def test_hexadecimal_keys_without_digit_pairs(spark):
     keys = ["a1b2c3d4e5f6" * 3, "A1B2C3D4E5F6" * 3, "abcdef" * 6]
     docs = spark.createDataFrame([(k, f"the key {x} is secret") for k, x in enumerate(keys)], "doc_id long, text string")
-    for r in feistel_pii.pseudonymise(docs).collect():
+    for r in feistel_pii.pseudonymise(docs, 'k').collect():
         assert r._n_values == 1 and keys[r.doc_id] not in r.text
 
 
@@ -166,5 +167,62 @@ def test_feistel_is_a_permutation(spark):
     got = {r.p for r in three.select(feistel_pii.permute_digits(F.col("d"), "k", "t").alias("p")).collect()}
     assert got == {f"{k:03}" for k in range(1000)}
     dates = spark.range(3000).select(F.date_format(F.date_add(F.lit("1990-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("d"))
-    moved = [r.p for r in dates.select(feistel_pii.pseudonym(F.col("d")).alias("p")).collect()]
+    moved = [r.p for r in dates.select(feistel_pii.pseudonym(F.col("d"), "k").alias("p")).collect()]
     assert len(set(moved)) == 3000 and all(re.fullmatch(r"\d{4}-\d\d-\d\d", x) for x in moved)
+
+
+def undone(text, key, kind, radix=10):
+    """The permutation of a digit string, taken back round by round."""
+    half = len(text) // 2
+    size_a, size_b = radix**half, radix ** (len(text) - half)
+    a, b = int(text[:half] or "0", radix), int(text[half:], radix)
+    part = lambda k, x: int(hashlib.sha256(f"{key}|{kind}|{k}|{x}".encode()).hexdigest()[:14], 16)
+    for k in reversed(range(feistel_pii.ROUNDS)):
+        a, b = ((a - part(k, b)) % size_a, b) if k % 2 == 0 else (a, (b - part(k, a)) % size_b)
+    spell = lambda n, width: "".join("0123456789abcdefghijklmnopqrstuvwxyz"[n // radix**k % radix] for k in reversed(range(width)))
+    return spell(a, half) + spell(b, len(text) - half)
+
+
+def test_pseudonyms_can_be_taken_back(spark):
+    """Brute force: every value comes back with the key, in its own format, and not with another key."""
+    from pyspark.sql import functions as F
+
+    mails = [f"{a}.{n}@mail{n}.{b}.com" for a in ("hein", "ann-lee", "q") for n in range(9) for b in ("example", "corp.test")]
+    cards = ["4111111111111111", "5500005555555559", "340000000000009"]
+    ibans = ["GB82WEST12345698765432", "DE89370400440532013000", "NL91ABNA0417164300"]
+    rows = spark.createDataFrame([(x,) for x in mails + cards + ibans], "x string")
+    got = {r.x: r.p for r in rows.select("x", feistel_pii.pseudonym(F.col("x"), "k").alias("p")).collect()}
+    assert len(set(got.values())) == len(got)
+    pick = lambda x, kind: "".join(c for c in x if re.match(kind, c))
+    to_number = str.maketrans(feistel_pii._LETTERS, feistel_pii._AS_NUMBERS)
+    for x, y in got.items():
+        shape = lambda v: re.sub("[a-z]", "a", re.sub("[0-9]", "0", v))
+        if "@" in x:
+            assert shape(x) == shape(y) and y.endswith(".com") and x != y
+            head, was = y.rpartition(".")[0], x.rpartition(".")[0]
+            assert undone(pick(head, "[0-9]"), "k", "email-digits") == pick(was, "[0-9]")
+            assert undone(pick(head, "[a-z]").translate(to_number), "k", "email", 26) == pick(was, "[a-z]").translate(to_number)
+            assert undone(pick(head, "[0-9]"), "other", "email-digits") != pick(was, "[0-9]") or len(pick(was, "[0-9]")) < 3
+        elif x[0].isdigit():
+            assert luhn(y) and undone(y[:-1], "k", "card") == x[:-1]
+        else:
+            assert re.sub("[A-Z]", "A", re.sub("[0-9]", "0", x)) == re.sub("[A-Z]", "A", re.sub("[0-9]", "0", y)) and x[:2] == y[:2]
+            assert int("".join(str(int(c, 36)) for c in y[4:] + y[:4])) % 97 == 1
+            assert undone(pick(y[4:], "[0-9]"), "k", "iban") == pick(x[4:], "[0-9]")
+            if letters := pick(y[4:], "[A-Z]").lower():
+                assert undone(letters.translate(to_number), "k", "iban-letters", 26) == pick(x[4:], "[A-Z]").lower().translate(to_number)
+    with pytest.raises(ValueError):
+        feistel_pii.pseudonymise(rows.withColumnRenamed("x", "text"), "")
+
+
+def test_op6_uses_the_keys_of_the_session(spark, docs, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    key = lambda r: (str(r.doc_id), str(r.text))
+    spark.conf.set(feistel_pii.KEY_SETTING, "one")
+    out = sorted(feistel_pii.op6_feistel_pii(spark, str(tmp_path)).collect(), key=key)
+    assert [(r.doc_id, r.text) for r in out] == [(r.doc_id, r.text) for r in sorted(feistel_pii.pseudonymise(docs, "one").collect(), key=key)]
+    spark.conf.set(feistel_pii.KEY_SETTING, "two")
+    assert out != sorted(feistel_pii.op6_feistel_pii(spark, str(tmp_path)).collect(), key=key)
+    spark.conf.unset(feistel_pii.KEY_SETTING)
+    drawn = feistel_pii.session_key(spark)
+    assert len(drawn) == 64 and feistel_pii.session_key(spark) == drawn
