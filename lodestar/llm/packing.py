@@ -134,9 +134,9 @@ def pack_parts(pieces: DataFrame, capacity: int, round_no: int) -> DataFrame:
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PIECES) -> DataFrame:
-    """Adds sequence_id and offset to rows that have a length and a part. What a round gives up is a few bins of each
-    part, so the pool shrinks with the number of parts and the last rounds run on one part. Each round but the last
-    saves a bin, so they end."""
+    """Adds sequence_id, offset and the certificate: `certified`, whether the piece's bin is of a part, in its last round,
+    that has no more bins than its lower bound. What a round gives up is a few bins of each part, so the pool shrinks
+    with the number of parts and the last rounds run on one part. Each round but the last saves a bin, so they end."""
     now = _shared.materialize(pack_parts(pieces, capacity, 0), "packed")
     settled: list[DataFrame] = []
     for r in count(1):
@@ -158,7 +158,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PI
         now = again
     for x in settled:
         now = now.unionByName(x)
-    return now.drop("part", "bound", "bins", "given")
+    return now.withColumn("certified", F.col("bins") <= F.col("bound")).drop("part", "bound", "bins", "given")
 
 
 def pack_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, part_pieces: int = PART_PIECES, keep_ids: bool = False) -> DataFrame:
