@@ -26,11 +26,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return feistel_pii.replace_pii(docs)
+    return feistel_pii.replace_pii(docs, feistel_pii.session_key(spark))
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, default_tokenizer())
+    return packing.pack_documents(docs, default_tokenizer(), keep_ids=True)
 
 
 STAGES = [
