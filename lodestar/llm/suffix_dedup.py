@@ -4,11 +4,17 @@ The suffixes of all documents are dealt out so that equal 50-byte strings meet:
 hash of the 24-byte strings in it, and runs of windows with the same one travel together as one segment. Windows whose
 least hash occurs in a single document cannot repeat; the repeated ones are found first (sorted arrays in the shared
 folder, memory-mapped), so only segments that may repeat are moved. Within a task equal segments are moved once, for the
-least document; the others are known repeats.
+least document; the others are known repeats. Hashes that very many rows hold are hot: their windows are dealt out one by
+one, by their own hashes, so that a common line gathers in no shard.
 
-In each shard documents come in order of doc_id, batch by batch. A batch gets its suffix array (windows in the order of
-their bytes, ties by document), is merge-scanned against the levels of the family for matches of the whole length, and
-becomes a level; levels of equal size merge, so sizes grow geometrically and a suffix is merged log n times.
+In each shard documents come in order of doc_id, batch by batch. A batch gets its suffix array, the places of its
+distinct windows in the order of their bytes; it is merge-scanned, block by block, against the levels of the family, and
+becomes a level itself; levels of equal size merge by the places of the scan, so sizes grow geometrically and a suffix is
+merged log n times. A match of more than 50 bytes is a run of windows that match, so a suffix's order is settled by its
+first 50 bytes and a level holds places, not strings.
+
+`index_batch` keeps the family: levels are files in the shared folder, a manifest for each shard and batch names those
+that count, and a new batch of documents is scanned against all batches before it without reading their texts again.
 
 Defined results: null texts are empty; a byte is removed if it lies in a 50-byte string that also starts in a document
 with a smaller doc_id; rows with the same doc_id are no repeats of each other; null doc_ids come last; empty texts,
@@ -19,6 +25,8 @@ are told apart by doc_id and the 64-bit xxHash of their text.
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +38,15 @@ from lodestar.llm._kernels import BASE, BYTES, U, mix, span_hashes
 from lodestar.llm.bagminhash import node_of, order_of
 
 LENGTH, PROBE = 50, 24
-#: Text for each shard (a task's memory holds some ten times that), windows of a batch, what a map task gathers before it sends.
+#: Text for each shard (a task's memory holds some ten times that), windows of a batch and of a block of a merge-scan,
+#: what a map task gathers before it sends, windows of a segment, and the rows from which on a hash is hot.
 SHARD_BYTES = 6 << 20
-BATCH = 1 << 17
-GATHER_RUNS, GATHER_BYTES = 2_000_000, 24 << 20
+BATCH, BLOCK = 1 << 18, 1 << 16
+GATHER_RUNS, GATHER_BYTES = 600_000, 12 << 20
+SEGMENT = 1 << 14
+HOT_ROWS = 2000
+#: Mapped probe arrays that a worker holds at once.
+MAPS = 1024
 RECORD = np.dtype([("own", "i8"), ("node", "i8"), ("start", "u4"), ("length", "u4")])
 
 
@@ -61,7 +74,7 @@ def window_probes(data: np.ndarray) -> np.ndarray:
 
 
 def window_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of windows within a row that share a probe: probe (even), row, first window, last window."""
+    """Runs of windows within a row that share a probe, at most SEGMENT long: probe (even), row, first and last window."""
     least = window_probes(data)
     n = len(least)
     edge = np.zeros(len(data) + 1, np.int32)
@@ -72,6 +85,12 @@ def window_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     same = np.zeros(n + 1, bool)
     same[1:n] = (least[1:] == least[:-1]) & valid[1:] & valid[:-1]
     first, last = np.flatnonzero(valid & ~same[:n]), np.flatnonzero(valid & ~same[1:])
+    pieces = (last - first) // SEGMENT + 1
+    if (pieces > 1).any():
+        ends = np.cumsum(pieces)
+        k = np.arange(ends[-1]) - np.repeat(ends - pieces, pieces)
+        first, last = np.repeat(first, pieces) + k * SEGMENT, np.repeat(last, pieces)
+        last = np.minimum(last, first + SEGMENT - 1)
     return least[first] & ~U(1), np.searchsorted(offsets, first, "right") - 1, first, last
 
 
@@ -102,7 +121,7 @@ def by_shard(shard: np.ndarray):
 
 
 def repeated_probes(docs: DataFrame, shards: int, folder: str) -> None:
-    """Writes, for each shard, the sorted probes that occur in two documents or more."""
+    """Writes, for each shard, the sorted probes that occur in two documents or more; the last bit marks hot ones."""
 
     def gather(batches):
         runs, rows, n, base = [], [], 0, 0
@@ -111,62 +130,133 @@ def repeated_probes(docs: DataFrame, shards: int, folder: str) -> None:
             probe, row = np.concatenate(runs), np.concatenate(rows)
             order = np.argsort(probe, kind="stable")
             probe, row = probe[order], row[order]
+            del order
             first = np.flatnonzero(np.diff(probe, prepend=probe[0] + U(2)))
-            many = row[first] != row[np.append(first[1:], len(row)) - 1]
-            keys = short(probe[first]) | many.astype(np.uint64)
-            found = [(k, pack40(keys[own])) for k, own in by_shard(shard_of(probe[first], shards))]
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], ["shard", "keys"])
+            ends = np.append(first[1:], len(row))
+            keys = short(probe[first]) | (row[first] != row[ends - 1]).astype(np.uint64)
+            seen = np.minimum(ends - first, 65535).astype("<u2")
+            found = [(k, pack40(keys[own]), seen[own].tobytes()) for k, own in by_shard(shard_of(probe[first], shards))]
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), *(pa.array([x[c] for x in found], pa.binary()) for c in (1, 2))], ["shard", "keys", "seen"])
 
         for batch in batches:
             for _, texts in _shared.slices(batch, "text", 1 << 20):
                 probe, row, _, _ = window_runs(*_shared.buffers_of(texts))
                 runs.append(probe)
-                rows.append(row + base)
+                rows.append((row + base).astype(np.uint32))
                 n, base = n + len(probe), base + len(texts)
                 if n >= GATHER_RUNS:
                     yield flush()
-                    runs, rows, n = [], [], 0
+                    runs, rows, n, base = [], [], 0, 0
+                    _shared.trim()
         if n:
             yield flush()
 
     def reduce(table: pa.Table) -> pa.Table:
-        keys = np.sort(unpack40(b"".join(x.as_py() for x in table.column("keys"))))
+        keys = unpack40(b"".join(x.as_py() for x in table.column("keys")))
+        seen = np.frombuffer(b"".join(x.as_py() for x in table.column("seen")), "<u2")
+        order = np.argsort(keys, kind="stable")
+        keys, seen = keys[order], seen[order]
         probe = keys & ~U(1)
         first = np.flatnonzero(np.diff(probe, prepend=probe[0] + U(2)))
         ends = np.append(first[1:], len(probe))
-        found = probe[first[(ends - first > 1) | (keys[ends - 1] & U(1) > 0)]]
+        hot = (np.add.reduceat(seen.astype(np.int64), first) >= HOT_ROWS).astype(np.uint64)
+        found = (probe[first] | hot)[(ends - first > 1) | (keys[ends - 1] & U(1) > 0)]
         _shared.write_array(folder, f"probes-{table.column('shard')[0].as_py()}", found)
+        _shared.trim()
         return pa.table({"n": pa.array([len(found)], pa.int64())})
 
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(gather, "shard long, keys binary")
-    rows.groupBy("shard").applyInArrow(reduce, "n long").agg(F.sum("n")).first()
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(gather, "shard long, keys binary, seen binary")
+    with _shared.cleaned(docs.sparkSession):
+        rows.repartition(shards, "shard").groupBy("shard").applyInArrow(reduce, "n long").agg(F.sum("n")).first()
+
+
+class Level:
+    """A suffix array: the places in `data` of distinct windows, in the order of their bytes."""
+
+    def __init__(self, data: np.ndarray, places: np.ndarray, name: str | None = None):
+        self.data, self.places, self.name = data, places, name
+
+    def __len__(self) -> int:
+        return len(self.places)
+
+    def keys(self, a: int, b: int) -> np.ndarray:
+        windows = np.lib.stride_tricks.sliding_window_view(self.data, LENGTH)
+        return np.ascontiguousarray(windows[self.places[a:b]]).view(f"S{LENGTH}").ravel()
+
+    def scan(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merge-scan with sorted windows: which of them the level holds, and before which of its places each belongs."""
+        hit, at, a = np.zeros(len(keys), bool), np.full(len(keys), len(self), np.int64), 0
+        for start in range(0, len(self), BLOCK):
+            end = min(start + BLOCK, len(self))
+            b = len(keys) if end == len(self) else int(np.searchsorted(keys, self.keys(end - 1, end)[0], "right"))
+            if a < b:
+                block = self.keys(start, end)
+                where = np.searchsorted(block, keys[a:b])
+                hit[a:b] = (block[np.minimum(where, len(block) - 1)] == keys[a:b]) & (where < len(block))
+                at[a:b] = start + where
+                a = b
+        return hit, at
+
+    def merged(self, other: Level) -> Level:
+        """Both levels as one; no window is in both."""
+        at = np.concatenate([self.scan(other.keys(k, k + BLOCK))[1] for k in range(0, len(other), BLOCK)])
+        if self.data is other.data:
+            return Level(self.data, np.insert(self.places, at, other.places))
+        return Level(np.concatenate([self.data, other.data]), np.insert(self.places, at, other.places + len(self.data)))
 
 
 class SuffixFamily:
-    """Levels of sorted windows, each at least twice as large as the next; all from documents before those scanned."""
+    """Levels, each at least twice as large as the next; all from documents before those scanned."""
 
-    def __init__(self):
-        self.levels: list[np.ndarray] = []
+    def __init__(self, levels: list[Level] | None = None):
+        self.levels = levels or []
 
-    def scan(self, windows: np.ndarray) -> np.ndarray:
+    def scan(self, keys: np.ndarray) -> np.ndarray:
         """Which of the sorted windows some level holds."""
-        hit = np.zeros(len(windows), bool)
+        hit = np.zeros(len(keys), bool)
         for level in self.levels:
-            at = np.minimum(np.searchsorted(level, windows), len(level) - 1)
-            hit |= level[at] == windows
+            hit |= level.scan(keys)[0]
         return hit
 
-    def add(self, windows: np.ndarray) -> None:
-        """Adds sorted distinct windows that no level holds."""
-        while self.levels and len(self.levels[-1]) < 2 * len(windows):
-            windows = np.sort(np.concatenate([self.levels.pop(), windows]), kind="stable")
-        if len(windows):
-            self.levels.append(windows)
-
-
-def repeats_in_order(records: np.ndarray, data: np.ndarray, batch: int = BATCH) -> np.ndarray:
-    """Which windows of the segments (records in data, one after another) also start in a document with a smaller `own`.
-    Returns a flag for each window, in the order of records and windows."""
+    def add(self, level: Level) -> None:
+        """Adds a level of windows that no level holds; levels of about its size merge with it."""
+        while self.levels and len(level) and len(self.levels[-1]) < 2 * len(level):
+            level = self.levels.pop().merged(level)
+        if len(level):
+            self.levels.append(level)
+
+    def whole(self) -> Level | None:
+        """All levels as one."""
+        while len(self.levels) > 1:
+            small = self.levels.pop()
+            self.levels.append(self.levels.pop().merged(small))
+        return self.levels[0] if self.levels else None
+
+    @classmethod
+    def load(cls, folder: str, shard: int, before: int) -> SuffixFamily:
+        """The family as the last batch before the given one left it, mapped."""
+        for batch in range(before - 1, -1, -1):
+            path = f"{folder}/manifest-{shard}-{batch}"
+            if os.path.exists(path):
+                with open(path) as f:
+                    names = json.load(f)
+                return cls([Level(_shared.map_array(folder, f"{x}-data", np.uint8), _shared.map_array(folder, f"{x}-places", np.int64), x) for x in names])
+        return cls()
+
+    def save(self, folder: str, shard: int, batch: int) -> None:
+        """Writes the levels that are new, then the manifest; a task that runs again writes the same."""
+        for k, level in enumerate(self.levels):
+            if level.name is None:
+                level.name = f"level-{shard}-{batch}-{k}"
+                _shared.write_array(folder, f"{level.name}-data", level.data)
+                _shared.write_array(folder, f"{level.name}-places", level.places.astype(np.int64))
+        _shared.write_array(folder, f"manifest-{shard}-{batch}", np.frombuffer(json.dumps([x.name for x in self.levels]).encode(), np.uint8))
+
+
+def repeats_in_order(records: np.ndarray, data: np.ndarray, batch: int = BATCH, before: SuffixFamily | None = None) -> np.ndarray:
+    """Which windows of the segments (records in data, one after another) also start in a document with a smaller `own`,
+    or in one of the family before. Returns a flag for each window, in the order of records and windows; the family
+    before gets what is new as one level."""
     counts = records["length"].astype(np.int64) - (LENGTH - 1)
     places = np.cumsum(records["length"].astype(np.int64)) - records["length"]
     slots = np.cumsum(counts) - counts
@@ -175,42 +265,53 @@ def repeats_in_order(records: np.ndarray, data: np.ndarray, batch: int = BATCH)
     order = np.argsort(records["own"], kind="stable")
     own, cost = records["own"][order], np.cumsum(counts[order])
     family, a = SuffixFamily(), 0
+    earlier = before or SuffixFamily()
     while a < len(order):
         b = int(np.searchsorted(cost, (cost[a - 1] if a else 0) + batch, "right"))
         b = int(np.searchsorted(own, own[max(a, b - 1)], "right"))  # a document's segments stay together
         part = order[a:b]
         step = np.arange(int(counts[part].sum())) - np.repeat(np.cumsum(counts[part]) - counts[part], counts[part])
-        keys = np.ascontiguousarray(windows[np.repeat(places[part], counts[part]) + step]).view(f"S{LENGTH}").ravel()
+        at = np.repeat(places[part], counts[part]) + step
+        keys = np.ascontiguousarray(windows[at]).view(f"S{LENGTH}").ravel()
         whose = np.repeat(own[a:b], counts[part])
         suffixes = np.argsort(keys, kind="stable")
-        keys, whose = keys[suffixes], whose[suffixes]
+        keys, whose, at = keys[suffixes], whose[suffixes], at[suffixes]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
-        known = family.scan(keys[first])
+        keys = keys[first]
+        known = family.scan(keys) | earlier.scan(keys)
         hit = known[group] | (whose > whose[first][group])
         flags[(np.repeat(slots[part], counts[part]) + step)[suffixes]] = hit
-        family.add(keys[first][~known])
+        family.add(Level(data, at[first][~known]))
         a = b
+    if before is not None and (new := family.whole()) is not None:
+        before.add(new)
     return flags
 
 
-def repeat_runs(docs: DataFrame, folder: str, shards: int) -> DataFrame:
-    """(own, node, start, stop): stretches of bytes that repeat an earlier document; they may overlap."""
+def repeat_runs(docs: DataFrame, folder: str, shards: int, filtered: bool = True, batch_no: int | None = None) -> DataFrame:
+    """(own, node, start, stop): stretches of bytes that repeat an earlier document; they may overlap. Filtered: segments
+    whose probe no other document has are not moved. With a batch number, documents of earlier batches in the folder
+    count as earlier ones, and the batch's windows are added to its families."""
 
     def gather(batches):
         probes: dict[int, np.ndarray] = {}
         parts: list[tuple] = []
 
-        def lookup(probe: np.ndarray) -> np.ndarray:
-            found = np.zeros(len(probe), bool)
+        def lookup(probe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Which probes repeat, and which of them are hot."""
+            found, hot = np.zeros(len(probe), bool), np.zeros(len(probe), bool)
             for k, own in by_shard(shard_of(probe, shards)):
                 if k not in probes:
+                    if len(probes) >= MAPS:
+                        probes.clear()
                     probes[k] = _shared.map_array(folder, f"probes-{k}", np.uint64)
                 if len(probes[k]):
                     keys = short(probe[own])
-                    at = np.minimum(np.searchsorted(probes[k], keys), len(probes[k]) - 1)
-                    found[own] = probes[k][at] == keys
-            return found
+                    have = probes[k][np.minimum(np.searchsorted(probes[k], keys), len(probes[k]) - 1)]
+                    found[own] = have & ~U(1) == keys
+                    hot[own] = found[own] & (have & U(1) > 0)
+            return found, hot
 
         def flush():
             probe, finger, records = (np.concatenate([p[k] for p in parts]) for k in range(3))
@@ -238,10 +339,19 @@ def repeat_runs(docs: DataFrame, folder: str, shards: int) -> DataFrame:
             for part, texts in _shared.slices(batch, "text", 1 << 20):
                 data, offsets = _shared.buffers_of(texts)
                 probe, row, first, last = window_runs(data, offsets)
-                found = lookup(probe)
-                if not found.any():
-                    continue
-                probe, row, first, stop = probe[found], row[found], first[found], last[found] + LENGTH
+                if filtered:
+                    found, hot = lookup(probe)
+                    if not found.any():
+                        continue
+                    probe, row, first, last, hot = probe[found], row[found], first[found], last[found], hot[found]
+                    if hot.any():  # a hot probe's windows go by themselves, each by its own hash
+                        n = np.where(hot, last - first + 1, 1)
+                        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                        probe, row, hot, first, last = (np.repeat(x, n) for x in (probe, row, hot, first, last))
+                        first = first + np.where(hot, k, 0)
+                        last = np.where(hot, first, last)
+                        probe = np.where(hot, span_hashes(data, first, first + LENGTH) & ~U(1), probe)
+                stop = last + LENGTH
                 records = np.empty(len(row), RECORD)
                 records["own"], records["node"] = part.column(0).to_numpy()[row], part.column(1).to_numpy()[row]
                 records["start"], records["length"] = first - offsets[row], stop - first
@@ -261,7 +371,10 @@ def repeat_runs(docs: DataFrame, folder: str, shards: int) -> DataFrame:
         records = np.frombuffer(b"".join(r for r, d in sent if d is not None), RECORD)
         data = np.frombuffer(b"".join(d for _, d in sent if d is not None), np.uint8)
         del sent
-        flags = repeats_in_order(records, data)
+        before = None if batch_no is None else SuffixFamily.load(folder, shard := table.column("shard")[0].as_py(), batch_no)
+        flags = repeats_in_order(records, data, before=before)
+        if before is not None:
+            before.save(folder, shard, batch_no)
         counts = records["length"].astype(np.int64) - (LENGTH - 1)
         whose = np.repeat(np.arange(len(records)), counts)
         step = np.arange(len(flags)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -273,11 +386,12 @@ def repeat_runs(docs: DataFrame, folder: str, shards: int) -> DataFrame:
         out = [np.concatenate([known["own"], r["own"]]), np.concatenate([known["node"], r["node"]])]
         start = np.concatenate([known["start"].astype(np.int64), r["start"] + step[first]])
         stop = np.concatenate([known["start"].astype(np.int64) + known["length"], r["start"] + step[last] + LENGTH])
+        _shared.trim()
         return pa.table({"own": out[0], "node": out[1], "start": start, "stop": stop})
 
     rows = docs.select(order_of(F.col("doc_id")).alias("own"), node_of(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.mapInArrow(gather, "shard long, records binary, data binary")
-    return rows.groupBy("shard").applyInArrow(reduce, "own long, node long, start long, stop long")
+    return rows.repartition(shards, "shard").groupBy("shard").applyInArrow(reduce, "own long, node long, start long, stop long")
 
 
 def union_of(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -298,6 +412,19 @@ def repeat_spans(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     return repeat_runs(docs, folder, shards).groupBy("own", "node").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
 
 
+def new_index(spark: SparkSession, expected_bytes: int, shard_bytes: int = SHARD_BYTES) -> dict:
+    """An empty index for about so many bytes of text; its number of shards stays."""
+    return {"folder": _shared.local_path(_shared.shared_path(spark, "suffixes")), "shards": max(1, -(-expected_bytes // shard_bytes)), "batches": 0}
+
+
+def index_batch(docs: DataFrame, index: dict) -> DataFrame:
+    """(own, node, runs) of a new batch of documents, against all batches before and within the batch by doc_id. The batch
+    becomes part of the index, which counts it; the result is written."""
+    runs = _shared.materialize(repeat_runs(docs, index["folder"], index["shards"], False, index["batches"]), "runs")
+    index["batches"] += 1
+    return runs.groupBy("own", "node").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
+
+
 def with_spans(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Whole rows (`_row`) with `_runs`, null where nothing repeats."""
     spans = repeat_spans(docs, shard_bytes).select(F.col("own").alias("_own"), F.col("node").alias("_node"), F.col("runs").alias("_runs"))

@@ -123,16 +123,48 @@ def test_cuts(spark, docs, clashing, empty):
 
 
 def test_family_levels_grow_geometrically():
-    family, rng = suffix_dedup.SuffixFamily(), np.random.default_rng(1)
-    every = np.unique(rng.integers(0, 1 << 60, 5000)).astype("S50")
-    for part in np.array_split(rng.permutation(every), 50):
-        part = np.sort(part)
-        assert not family.scan(part).any()
-        family.add(part)
-        assert family.scan(part).all()
+    rng = np.random.default_rng(1)
+    data = rng.integers(0, 3, 5000).astype(np.uint8)
+    windows = [data[k : k + 50].tobytes() for k in range(len(data) - 49)]
+    family, seen = suffix_dedup.SuffixFamily(), set()
+    for part in np.array_split(rng.permutation(len(windows)), 50):
+        part = np.array(sorted(part, key=lambda k: windows[k]))
+        keys = suffix_dedup.Level(data, part).keys(0, len(part))
+        assert family.scan(keys).tolist() == [windows[k] in seen for k in part]
+        family.add(suffix_dedup.Level(data, part))
+        seen.update(windows[k] for k in part)
+        assert family.scan(keys).all()
         sizes = [len(x) for x in family.levels]
         assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
-    assert sum(len(x) for x in family.levels) == len(every)
+    whole = family.whole()
+    assert [windows[k] for k in whole.places] == sorted(windows)
+
+
+def test_merge_scan_by_blocks(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 7)
+    test_family_levels_grow_geometrically()
+
+
+def test_batches_equal_one_run(spark, docs):
+    """Three batches, one after another in an index that is kept, against one run over all of them."""
+    rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+    spans = lambda df: {(r.own, r.node): tuple(x.tolist() for x in suffix_dedup.union_of(np.array([x.start for x in r.runs]), np.array([x.stop for x in r.runs]))) for r in df.collect()}
+    want = spans(suffix_dedup.repeat_spans(rows))
+    index, got = suffix_dedup.new_index(spark, 400_000, 100_000), {}
+    for low, high in ((0, 12), (12, 18), (18, 100)):
+        got |= spans(suffix_dedup.index_batch(rows.where(f"doc_id >= {low} AND doc_id < {high}"), index))
+    assert index["batches"] == 3 and want and got == want
+
+
+def test_hot_probes_and_long_runs(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", 3)
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 40)
+    rng = np.random.default_rng(5)
+    line = "=" * 80 + " a common line that every document has " + "-" * 30
+    rows = [(k, "".join(map(chr, rng.integers(97, 123, 30))) + line + "".join(map(chr, rng.integers(97, 123, rng.integers(0, 90)))) + "x" * int(rng.integers(0, 400))) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = Counter(cut_by_hand({k: [t] for k, t in rows}).values())
+    assert Counter((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.cut_digests(docs, 1000).collect()) == want
 
 
 def test_probes_are_least_hashes_of_windows():
