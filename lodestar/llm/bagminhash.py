@@ -14,8 +14,10 @@ overlap of their multisets. Documents with the same text count as one node.
 
 Defined results: null and empty texts, and those of white space alone, are near-duplicates only of equal texts; texts of
 one to four words are one shingle; null doc_ids come last and never name a class unless all its ids are null; repeated
-rows share a class; an empty table gives no rows; other columns are not looked at. The identity of a text is its 64-bit
-xxHash. Classes whose least ids are equal, or null, have the same class_id; class_label, the least text hash of the
+rows share a class; an empty table gives no rows; other columns are not looked at. A text's node is its 64-bit xxHash;
+texts that share one are told apart by a second hash, 128 bits together. Joins by bucket, shingle or label, of which one
+may hold a third of all rows, have one row for each on their other side, so adaptive execution splits the large side.
+Classes whose least ids are equal, or null, have the same class_id; class_label, the least text hash of the
 class, tells them apart.
 """
 
@@ -35,8 +37,9 @@ LEAST = 0.8
 #: 32 bands of 4: a pair at 0.8 shares none with a probability of 5e-8.
 BANDS, ROWS = 32, 4
 SEED = 0x51ED270B
-#: Node lists up to this length (some MB) are broadcast, after a count; longer ones are joined by shuffle.
-BROADCAST_NODES = 1_000_000
+#: Node lists of two numbers a row are broadcast up to this length (16 bytes a row, some 20 MB as a hash table), after a
+#: count; longer ones are joined by shuffle.
+BROADCAST_NODES = 400_000
 
 
 def multisets(texts: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,12 +110,33 @@ def node_of(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def check_of(text: Column) -> Column:
+    """A second hash of a text, independent of its node."""
+    return F.xxhash64(F.lit("check"), F.coalesce(text, F.lit("")))
+
+
+def shared_nodes(rows: DataFrame) -> DataFrame | None:
+    """Of (node, check) the nodes that different texts share, with the least check of each; None where there is none. At
+    most a few hundred are likely among 10**11 texts."""
+    found = rows.groupBy("node").agg(F.min("check").alias("least"), F.max("check").alias("most")).where("least != most").select("node", "least")
+    found = _shared.materialize(found, "shared-nodes")
+    return None if found.isEmpty() else found
+
+
+def told_apart(rows: DataFrame, shared: DataFrame | None) -> DataFrame:
+    """rows (node, check, ...) without check; texts that share a node with another get one of their own."""
+    if shared is None:
+        return rows.drop("check")
+    own = F.when(F.col("least") != F.col("check"), F.xxhash64("node", "check")).otherwise(F.col("node"))
+    return rows.join(few(shared), "node", "left").withColumn("node", own).drop("check", "least")
+
+
 def order_of(key: Column) -> Column:
     return F.coalesce(key.cast("long"), F.lit((1 << 63) - 1))
 
 
 def band_table(docs: DataFrame, key: str, text: str, bands: int = BANDS, rows: int = ROWS, n: int = SHINGLE) -> DataFrame:
-    """order, node and band hashes (null where a text has no words) of every document; one narrow stage."""
+    """order, node, check and band hashes (null where a text has no words) of every document; one narrow stage."""
 
     def run(batches):
         for batch in batches:
@@ -125,10 +149,10 @@ def band_table(docs: DataFrame, key: str, text: str, bands: int = BANDS, rows: i
                     folded = mix(folded * U(0x9E3779B97F4A7C15) + parts[:, :, k])
                 folded = mix(folded ^ np.arange(bands, dtype=np.uint64)).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * bands), pa.array(folded.reshape(-1)), mask=pa.array(empty))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], ["own", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), lists], ["own", "node", "check", "bands"])
 
-    rows_in = docs.select(order_of(F.col(key)).alias("own"), node_of(F.col(text)).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows_in.mapInArrow(run, "own long, node long, bands array<long>")
+    rows_in = docs.select(order_of(F.col(key)).alias("own"), node_of(F.col(text)).alias("node"), check_of(F.col(text)).alias("check"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return rows_in.mapInArrow(run, "own long, node long, check long, bands array<long>")
 
 
 def few(df: DataFrame) -> DataFrame:
@@ -136,7 +160,7 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_NODES else df
 
 
-def multiset_table(docs: DataFrame, needed: DataFrame, text: str, n: int = SHINGLE) -> DataFrame:
+def multiset_table(docs: DataFrame, needed: DataFrame, text: str, n: int = SHINGLE, shared: DataFrame | None = None) -> DataFrame:
     """Sorted shingles and their counts of the needed nodes, one row each."""
 
     def run(batches):
@@ -148,8 +172,8 @@ def multiset_table(docs: DataFrame, needed: DataFrame, text: str, n: int = SHING
                 counts = [b"" if not (count[a:b] > 1).any() else count[a:b].astype(np.uint32).tobytes() for a, b in zip(ends, ends[1:])]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary()), pa.array(counts, pa.binary())], ["node", "shingles", "counts"])
 
-    rows = docs.select(order_of(F.col("doc_id")).alias("own") if "doc_id" in docs.columns else F.lit(0).alias("own"), node_of(F.col(text)).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.join(few(needed), ["node", "own"], "left_semi").select("node", "text")
+    rows = docs.select(order_of(F.col("doc_id")).alias("own") if "doc_id" in docs.columns else F.lit(0).alias("own"), node_of(F.col(text)).alias("node"), check_of(F.col(text)).alias("check"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = told_apart(rows, shared).join(few(needed), ["node", "own"], "left_semi").select("node", "text")
     return rows.mapInArrow(run, "node long, shingles binary, counts binary").groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("counts").alias("counts"))
 
 
@@ -229,9 +253,12 @@ def open_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, least: fl
     return found.select(*pairs_of(F.col("node"), F.col("node2"))).distinct()
 
 
-def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST, n: int = SHINGLE) -> DataFrame:
-    """(own, node, label, class_own, class_node) of every document: its class, and the least document of that."""
+def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST, n: int = SHINGLE) -> tuple[DataFrame, DataFrame | None]:
+    """(own, node, label, class_own, class_node) of every document: its class, and the least document of that; and the
+    nodes that different texts share."""
     signed = _shared.materialize(band_table(docs, key, text, n=n), "bands")
+    shared_by = shared_nodes(signed.select("node", "check"))
+    signed = told_apart(signed, shared_by)
     texts = signed.groupBy("node").agg(F.min("own").alias("own"), F.first("bands").alias("bands"))
     buckets = texts.where("bands IS NOT NULL").select("node", F.explode("bands").alias("bucket"))
     buckets = _shared.materialize(buckets, "buckets")
@@ -243,7 +270,7 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     members = _shared.materialize(members.select("bucket", "node").join(leaders, "bucket"), "members")
     firsts = signed.groupBy("node").agg(F.min("own").alias("own"))
     needed = _shared.materialize(members.select("node").distinct().join(firsts, "node"), "needed")
-    sets = _shared.materialize(multiset_table(docs.withColumnRenamed(key, "doc_id") if key != "doc_id" else docs, needed, text, n), "sets")
+    sets = _shared.materialize(multiset_table(docs.withColumnRenamed(key, "doc_id") if key != "doc_id" else docs, needed, text, n, shared_by), "sets")
 
     candidates = members.where("node != leader").select(*pairs_of(F.col("node"), F.col("leader"))).distinct()
     labels = components(_shared.materialize(verify(candidates, sets, least), "verified"))
@@ -252,22 +279,24 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     # ids may be null or tied, so a class is its label, and its least document an id and a text
     heads = classes.groupBy("label").agg(F.min(F.struct("own", "node")).alias("head"))
     of_node = classes.join(heads, "label").select("node", "label", F.col("head.own").alias("class_own"), F.col("head.node").alias("class_node"))
-    return signed.select("own", "node").join(of_node, "node")
+    return signed.select("own", "node").join(of_node, "node"), shared_by
 
 
 def class_table(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """One row per document: its id, the id of its class, the least in it, and the label of the class."""
     back = lambda c: F.when(F.col(c) != (1 << 63) - 1, F.col(c))
-    return near_duplicate_classes(docs, key, text, least).select(back("own").alias(key), back("class_own").alias("class_id"), F.col("label").alias("class_label"))
+    return near_duplicate_classes(docs, key, text, least)[0].select(back("own").alias(key), back("class_own").alias("class_id"), F.col("label").alias("class_label"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """One document of each class, with its own columns; of repeated rows one."""
     # of each class only its head stays, by id and text; no join by class, some are large
     head = (F.col("own") == F.col("class_own")) & (F.col("node") == F.col("class_node"))
-    found = _shared.materialize(near_duplicate_classes(docs, key, text, least).select("own", "node", head.alias("head")), "classes")
+    classes, shared_by = near_duplicate_classes(docs, key, text, least)
+    found = _shared.materialize(classes.select("own", "node", head.alias("head")), "classes")
     gone = found.where("NOT head").select("own", "node").distinct()
-    named = _shared.wrapped(docs, _own=order_of(F.col(key)), _node=node_of(F.col(text)))
+    named = _shared.wrapped(docs, own=order_of(F.col(key)), node=node_of(F.col(text)), check=check_of(F.col(text)))
+    named = told_apart(named, shared_by).withColumnsRenamed({"own": "_own", "node": "_node"})
     gone = _shared.materialize(gone.select(F.col("own").alias("_own"), F.col("node").alias("_node")), "gone")
     left = named.join(few(gone), ["_own", "_node"], "left_anti")
     if not found.where("head").groupBy("own", "node").count().where("count > 1").isEmpty():

@@ -59,6 +59,16 @@ def test_null_and_tied_ids_keep_their_classes(spark):
     assert sorted(sizes.values()) == [1, 1, 2, 2, 3, 3]
 
 
+def test_texts_that_share_a_node(spark, monkeypatch):
+    """Different texts with the same 64-bit hash are different documents."""
+    monkeypatch.setattr(bagminhash, "node_of", lambda text: bagminhash.F.length(bagminhash.F.coalesce(text, bagminhash.F.lit(""))).cast("long"))
+    say = lambda tag, n=60: " ".join(f"{tag}{k}" for k in range(n))
+    rows = [(1, say("a")), (2, say("b")), (3, say("c")), (4, say("b")), (5, say("c") + " end"), (6, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in bagminhash.class_table(docs).collect()} == classes_by_hand(rows)
+    assert sorted(r.doc_id for r in bagminhash.keep_one(docs).collect()) == [1, 2, 3, 6]
+
+
 def test_far_copies_of_one_text(spark):
     """Copies with many edits: some pairs are linked with each other alone, none with the centre."""
     rng = np.random.default_rng(3)
