@@ -81,12 +81,14 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
 
 
 def cut_documents(docs: DataFrame, path: str, parts: int, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
-    """Tokenises and cuts: one row per piece, dealt evenly over `parts` numbers by its place in its input partition."""
+    """Tokenises and cuts: one row per piece, dealt evenly over `parts` numbers by its place in its input partition; with
+    keep_ids also its ids and `_at`, a number of its own."""
 
     def run(batches):
         coder = load(path)
         end = np.array([END_ID], "<u4").tobytes()
-        dealt = TaskContext.get().partitionId() * 7919
+        task = TaskContext.get().partitionId()
+        dealt, own_numbers = task * 7919, (task << 36) - task * 7919
         for batch in batches:
             for part, texts in _shared.slices(batch, text):
                 keys = part.column(0)
@@ -102,13 +104,14 @@ def cut_documents(docs: DataFrame, path: str, parts: int, key: str = "doc_id", t
                         crc.append(zlib.crc32(own))
                         if keep_ids:
                             kept.append(own)
-                part_no = (np.arange(len(row)) + dealt) % parts
+                at = np.arange(len(row)) + dealt
+                part_no = at % parts
                 dealt += len(row)
                 out = [keys.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(part_no, pa.int64())]
-                yield pa.RecordBatch.from_arrays([*out, *([pa.array(kept, pa.binary())] if keep_ids else [])], ["key", "piece", "start", "length", "ids_crc32", "part", *(["ids"] if keep_ids else [])])
+                yield pa.RecordBatch.from_arrays([*out, *([pa.array(at + own_numbers), pa.array(kept, pa.binary())] if keep_ids else [])], ["key", "piece", "start", "length", "ids_crc32", "part", *(["_at", "ids"] if keep_ids else [])])
 
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"key {kind}, piece int, start long, length long, ids_crc32 long, part long" + ", ids binary" * keep_ids
+    schema = f"key {kind}, piece int, start long, length long, ids_crc32 long, part long" + ", _at long, ids binary" * keep_ids
     return docs.select(key, text).mapInArrow(run, schema)
 
 
@@ -162,11 +165,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PI
 
 
 def pack_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, part_pieces: int = PART_PIECES, keep_ids: bool = False) -> DataFrame:
-    """Tokenises, cuts and packs whole documents; with keep_ids also each piece's ids."""
+    """Tokenises, cuts and packs whole documents; with keep_ids also each piece's ids, which are joined to the packed
+    pieces at the end and so are in no task that packs."""
     n, size = _shared.input_bytes(docs, text)
     parts = max(1, -(-(n + size // (8 * capacity)) // part_pieces))
     pieces = _shared.materialize(cut_documents(docs, path, parts, key, text, capacity, keep_ids), "pieces")
-    return pack(pieces, capacity, part_pieces).withColumnRenamed("key", key)
+    packed = pack(pieces.drop("ids"), capacity, part_pieces)
+    if keep_ids:
+        packed = packed.join(pieces.select("_at", "ids"), "_at").drop("_at")
+    return packed.withColumnRenamed("key", key)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
