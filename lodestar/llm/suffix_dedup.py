@@ -40,7 +40,7 @@ from lodestar.llm.bagminhash import node_of, order_of
 LENGTH, PROBE = 50, 24
 #: Text for each shard (a task's memory holds some ten times that), windows of a batch and of a block of a merge-scan,
 #: what a map task gathers before it sends, windows of a segment, and the rows from which on a hash is hot.
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 4 << 20
 BATCH, BLOCK = 1 << 18, 1 << 16
 GATHER_RUNS, GATHER_BYTES = 600_000, 12 << 20
 SEGMENT = 1 << 14
