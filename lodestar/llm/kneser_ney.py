@@ -10,8 +10,8 @@ shuffle; pairs by themselves, as a word may have very many followers. Every orde
 go when it is written. The discounts of each order come from its counts of counts. Scoring reads only the mapped arrays: no
 text is moved.
 
-A table holds 40 bits of an n-gram's hash within its shard: 8 by a directory, 32 in the array; an n-gram that was never seen
-is taken for a seen one with n / 2**40 for the n of a shard. Values that are frequent in a shard are stored as one byte, others in
+A table holds 32 bits of an n-gram's hash within its shard, and up to 16 by a directory of about n / 16 boxes; an n-gram that
+was never seen is taken for a seen one with a probability of some 16 / 2**32. Values that are frequent in a shard are stored as one byte, others in
 full (64 bits) beside it.
 
 Tokens: words [^\\x20\\x09-\\x0D]+ with A-Z in lower case, and one end for each text; n-grams reach over the beginning of
@@ -75,7 +75,7 @@ def dealt_by(ids: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 def runs_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order that sorts the keys, and the first place of each distinct one in it."""
-    by = np.argsort(key, kind="stable")
+    by = np.argsort(key)
     key = key[by]
     return by, np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
 
@@ -118,7 +118,7 @@ def decode(raw: bytes, sizes: list[int]) -> list[np.ndarray]:
 
 def spell(ids: np.ndarray, counts: np.ndarray, size: int) -> bytes:
     """N-grams (rows of word numbers) and counts, sorted by the first word, which is sent as steps."""
-    by = np.argsort(ids[:, 0], kind="stable")
+    by = np.argsort(ids[:, 0])
     ids = ids[by]
     steps = np.diff(ids[:, 0], prepend=U(0))
     return encode([steps, *ids[:, 1:].T, counts[by]], [size] * ids.shape[1] + [COUNT_BYTES])
@@ -133,25 +133,34 @@ def unspell(raw: bytes, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
 # -- tables in the shared folder
 
 BOOK, WIDE = 255, np.dtype("<u8")
+#: Entries that a box of the directory has on average.
+IN_BOX = 16
 
 
 def write_table(folder: str, name: str, keys: np.ndarray, values: np.ndarray) -> None:
-    """A table from distinct keys to rows of numbers, in one file: sizes, directory, sorted hashes, codes of values, the
-    book of frequent values, and places and values of the others."""
-    prints = mix(keys) >> U(24)
-    by, first = runs_of(prints)
-    by, prints = by[first], prints[by][first]
-    values = np.ascontiguousarray(values[by].astype(WIDE))
+    """A table from distinct sorted hashes to rows of at most four numbers, in one file: sizes, directory, hashes, codes of
+    values, the book of frequent values, and places and values of the others."""
+    box_bits = max(0, min(16, int(len(keys) // IN_BOX).bit_length()))
+    prints = keys >> U(32 - box_bits)
+    first = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
+    prints, values = prints[first], np.ascontiguousarray(values[first].astype(WIDE))
     n, width = values.shape
-    book, code, seen = np.unique(values, axis=0, return_inverse=True, return_counts=True)
-    often = np.argsort(-seen, kind="stable")[:BOOK]
-    number = np.full(len(book), BOOK, np.uint8)
-    number[often] = np.arange(len(often))
-    code = number[code.ravel()]
+    packed = values[:, 0].copy()
+    for k in range(1, width):
+        packed |= values[:, k] << U(16 * k)
+    packed[(values >> U(16)).any(axis=1)] = ~U(0)  # those stand by themselves
+    book, seen = np.unique(packed, return_counts=True)
+    often = np.sort(book[np.argsort(-np.where(book == ~U(0), 0, seen), kind="stable")[:BOOK]])
+    often = often[often != ~U(0)]
+    code = np.full(n, BOOK, np.uint8)
+    if len(often):
+        at = np.minimum(np.searchsorted(often, packed), len(often) - 1)
+        code = np.where(often[at] == packed, at, BOOK).astype(np.uint8)
     rest = np.flatnonzero(code == BOOK)
+    spread = np.stack([often >> U(16 * k) & U(0xFFFF) for k in range(width)], axis=1) if width > 1 else often[:, None]
     parts = [
-        np.array([n, width, len(often), len(rest)], "<i8"), np.searchsorted(prints >> U(32), np.arange(257, dtype=np.uint64)).astype("<i8"),
-        (prints & U(0xFFFFFFFF)).astype("<u4"), np.zeros(-n % 2, "<u4"), code, np.zeros(-n % 8, np.uint8), book[often].astype(WIDE), rest.astype("<i8"), values[rest],
+        np.array([n, width, len(often), len(rest), box_bits], "<i8"), np.searchsorted(prints >> U(32), np.arange((1 << box_bits) + 1, dtype=np.uint64)).astype("<i8"),
+        (prints & U(0xFFFFFFFF)).astype("<u4"), np.zeros(n % 2, "<u4"), code, np.zeros(-n % 8, np.uint8), spread.astype(WIDE), rest.astype("<i8"), values[rest],
     ]
     _shared.write_array(folder, name, np.frombuffer(b"".join(x.tobytes() for x in parts), np.uint8))
 
@@ -163,8 +172,8 @@ class Table:
         if not len(raw):
             return
         raw = np.asarray(raw)
-        self.n, self.width, often, rest = (int(x) for x in raw[:32].view("<i8"))
-        at = 32
+        self.n, self.width, often, rest, self.box_bits = (int(x) for x in raw[:40].view("<i8"))
+        at = 40
 
         def take(count: int, dtype, pad: int = 0) -> np.ndarray:
             nonlocal at
@@ -172,7 +181,7 @@ class Table:
             at += out.nbytes + pad
             return out
 
-        self.dirs = take(257, "<i8")
+        self.dirs = take((1 << self.box_bits) + 1, "<i8")
         self.low = take(self.n, "<u4", 4 * (self.n % 2))
         self.code = take(self.n, np.uint8, -self.n % 8)
         self.book = take(often * self.width, WIDE).reshape(-1, self.width)
@@ -180,8 +189,8 @@ class Table:
         self.values = take(rest * self.width, WIDE).reshape(-1, self.width)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which keys the table has, and their values; all keys are searched at once, by halving."""
-        prints = mix(keys) >> U(24)
+        """Which hashes the table has, and their values; all are searched at once, by halving."""
+        prints = keys >> U(32 - self.box_bits)
         box, want = (prints >> U(32)).astype(np.int64), (prints & U(0xFFFFFFFF)).astype(np.uint32)
         low, high = self.dirs[box], self.dirs[box + 1]
         end = high
@@ -309,21 +318,22 @@ def count_grams(texts: DataFrame, order: int, shards: int, folder: str) -> tuple
         def run(table: pa.Table) -> pa.Table:
             shard, out = table.column("shard")[0].as_py(), []
             if contexts := [decode(x, [8] + [COUNT_BYTES] * 4) for x in of_kind(table, "context")]:
-                keys, sums = sums_of(np.concatenate([x[0] for x in contexts]), [np.concatenate([x[k] for x in contexts]).astype(np.int64) for k in range(1, 5)])
+                keys, sums = sums_of(mix(np.concatenate([x[0] for x in contexts])), [np.concatenate([x[k] for x in contexts]).astype(np.int64) for k in range(1, 5)])
                 write_table(folder, f"context{level + 1}-{shard}", keys, np.stack(sums, axis=1))
             found = [unspell(x, level, size) for x in of_kind(table, "gram")]
             del table, contexts
             if found:
                 ids, counts = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
                 del found
-                key = fold(ids, 0, level)
+                key = mix(fold(ids, 0, level))
                 by, first = runs_of(key)
                 counts, by = np.add.reduceat(counts[by], first), by[first]
                 key, ids = key[by], ids[by]
                 write_table(folder, f"gram{level}-{shard}", key, counts[:, None])
                 out.append(told(shard, level, counts))
                 if level > 1:
-                    ctx, sums = sums_of(fold(ids, 0, level - 1), [counts, *(x.astype(np.int64) for x in (counts == 1, counts == 2, counts > 2))])
+                    ctx = fold(ids, 0, level - 1)
+                    ctx, sums = sums_of(mix(ctx) if level > 2 else ctx, [counts, *(x.astype(np.int64) for x in (counts == 1, counts == 2, counts > 2))])
                     if level > 2:  # all followers of a context are here
                         write_table(folder, f"context{level}-{shard}", ctx, np.stack(sums, axis=1))
                     else:
@@ -373,14 +383,17 @@ class Model:
 
     def lookup(self, name: str, keys: np.ndarray, by: np.ndarray, width: int = 1) -> np.ndarray:
         """Values of keys, whose shards follow from `by`; zeros where the table doesn't have them."""
-        distinct, at, back = np.unique(keys, return_index=True, return_inverse=True)
-        out = np.zeros((len(distinct), width), np.float64)
-        for shard, own in groups(shard_of(by[at], self.shards)):
+        order, first = runs_of(keys)
+        distinct = mix(keys[order[first]])
+        out = np.zeros((len(first), width), np.float64)
+        for shard, own in groups(shard_of(by[order[first]], self.shards)):
             table = self.table(f"{name}-{shard}")
             if table.n:
                 good, values = table.find(distinct[own])
                 out[own[good]] = values
-        return out[back]
+        whole = np.empty((len(keys), width), np.float64)
+        whole[order] = np.repeat(out, np.diff(np.append(first, len(keys))), axis=0)
+        return whole
 
     def log10(self, numbers: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log10 probability of the word at each place, given the order - 1 before it."""
@@ -431,7 +444,7 @@ def score(docs: DataFrame, model: dict, key: str = "doc_id") -> DataFrame:
         words_of = lm.stats.get(0, {"total": 0, "distinct": 0})
         total, distinct = words_of["total"], words_of["distinct"]
         for batch in batches:
-            for part, texts in _shared.slices(batch, "text", 1 << 20):
+            for part, texts in _shared.slices(batch, "text", 4 << 20):
                 tokens, rows = token_stream(texts, lm.order)
                 at = np.flatnonzero(tokens != START)
                 numbers, c = lm.words.find(tokens)
