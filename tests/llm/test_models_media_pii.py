@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestar.llm import feistel_pii, kneser_ney, matroska, pu_quality
@@ -68,15 +69,57 @@ def test_pu_quality(spark, empty):
     rows = [(k, t) for k, t in enumerate(good + bad)] + [(None, "x"), (5000, None), (5001, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(k, int(k < 260)) for k in range(300) if k % 2] + [(None, 1), (7, None)], "doc_id long, quality int")
-    learn = docs.where(~pu_quality.held_out(docs.doc_id))
+    table = pu_quality.feature_table(docs)
+    learn = table.where(~pu_quality.held_out(table.doc_id))
     model = pu_quality.train(learn, labels.where(~pu_quality.held_out(labels.doc_id)))
     score = {r.doc_id: r.score for r in pu_quality.score(docs.na.fill("", ["text"]), model).collect()}
+    assert {r.doc_id: r.score for r in pu_quality.score_table(table, model).collect()} == score
     held = [k for k in range(300) if zlib.crc32(str(k).encode()) % 4 == 2]
     right = [(score[k] >= 0.7) == (k < 260) for k in held]
     assert sum(right) / len(right) > 0.95
     assert all(0 <= s <= 1 for s in score.values()) and len(score) == len(rows)
     flat = pu_quality.train(learn, labels.limit(0))
     assert {round(r.score, 6) for r in pu_quality.score(docs.na.fill("", ["text"]), flat).collect()} == {0.5}
+    assert pu_quality.score_table(pu_quality.feature_table(empty.select("doc_id", "text")), model).count() == 0
+    clashes = docs.selectExpr("doc_id", "text", "1 AS score_", "2 AS n", "3 AS part", "4 AS key")
+    assert {r.doc_id: r.score for r in pu_quality.score_table(pu_quality.feature_table(clashes), model).collect()} == score
+
+
+def test_risk_and_its_gradient_by_brute_force(spark):
+    """The sums over a table against single rows, and the direction against differences of the risk."""
+    rng = random.Random(8)
+    texts = [prose(rng, rng.randint(1, 40)) + ("***" if k % 3 else "") for k in range(40)]
+    table = pu_quality.feature_table(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3))
+    x = pu_quality.features(pa.array(texts)).astype(np.float64)
+    w = np.random.default_rng(3).standard_normal(x.shape[1]) * 0.05
+    got = pu_quality.summed(table, lambda m: pu_quality.negative_sums(m, w, 0.3))
+    z = [float(r @ w + 0.3) for r in x]
+    assert got[-1] == 40 and got[0] == pytest.approx(sum(math.log1p(math.exp(v)) for v in z), rel=1e-4)
+    assert got[-2] == pytest.approx(sum(1 / (1 + math.exp(-v)) for v in z), rel=1e-4)
+    assert got[1:-2] == pytest.approx(sum(r / (1 + math.exp(-v)) for r, v in zip(x, z)), rel=1e-3, abs=1e-4)
+    for prior in (0.3, 0.95):  # the second part over and under zero
+        part = lambda w, b: pu_quality.negative_sums(x, w, b)
+        loss, direction = pu_quality.risk(x[:10], part, w, 0.3, prior)
+        def parts(w, b):
+            zp, zu = x[:10] @ w + b, x @ w + b
+            return prior * np.logaddexp(0, -zp).mean(), np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+        good, negative = parts(w, 0.3)
+        assert loss == pytest.approx(good + max(0, negative), rel=1e-4)
+        whole = (lambda w, b: sum(parts(w, b))) if negative >= 0 else (lambda w, b: -parts(w, b)[1])
+        for k in (0, 7, 2050, 2060):
+            e = np.zeros(len(w))
+            e[k] = 1e-4
+            assert direction[k] == pytest.approx((whole(w + e, 0.3) - whole(w - e, 0.3)) / 2e-4, rel=2e-2, abs=2e-5)
+        assert direction[-1] == pytest.approx((whole(w, 0.3001) - whole(w, 0.2999)) / 2e-4, rel=2e-2, abs=2e-5)
+
+
+def test_prior_from_positives_and_unlabelled_rows():
+    rng = np.random.default_rng(6)
+    for share in (0.2, 0.5, 0.85):
+        good = lambda n: 1 / (1 + np.exp(-rng.normal(2, 1, n)))
+        bad = 1 / (1 + np.exp(-rng.normal(-2, 1, 20000 - int(20000 * share))))
+        counts = np.histogram(np.concatenate([good(int(20000 * share)), bad]), pu_quality.BINS, (0, 1))[0]
+        assert pu_quality.best_bin(good(3000), counts.astype(float)) == pytest.approx(share, abs=0.06)
 
 
 def test_nonnegative_risk_is_kept():
