@@ -69,6 +69,18 @@ def kmeans_step(points: DataFrame, centroids) -> DataFrame:
     return means.groupBy("list_no").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("c"))
 
 
+def split_empty(step: DataFrame, k: int) -> DataFrame:
+    """The centroids of a step (list_no, n, c), with those of the k numbers that got no row split off the largest list by
+    1 +- 1/1024, coordinate by coordinate; several empty ones go off the next largest. k rows at most."""
+    ranked = step.withColumn("_r", F.row_number().over(Window.orderBy(F.col("n").desc(), "list_no")))
+    numbers = step.sparkSession.range(k).select(F.col("id").cast("int").alias("empty")).join(step.select(F.col("list_no").alias("empty")), "empty", "left_anti")
+    numbers = numbers.withColumn("_r", F.row_number().over(Window.orderBy("empty")))
+    turned = lambda sign: F.transform("c", lambda x, p: x * F.when(p % 2 == 1, 1 + sign / 1024).otherwise(1 - sign / 1024))
+    both = ranked.join(numbers, "_r", "left")
+    kept = both.select("list_no", F.when(F.col("empty").isNull(), F.col("n")).otherwise(F.col("n") / 2).cast("long").alias("n"), F.when(F.col("empty").isNull(), F.col("c")).otherwise(turned(1)).alias("c"))
+    return kept.unionByName(both.where("empty IS NOT NULL").select(F.col("empty").alias("list_no"), (F.col("n") / 2).cast("long").alias("n"), turned(-1).alias("c")))
+
+
 # -- inverted lists
 
 def ivf_search(lists: DataFrame, queries: DataFrame, centroids, k: int, nprobe: int, measure: str = "l2") -> DataFrame:

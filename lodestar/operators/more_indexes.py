@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lodestar.functions.distances import coordinate_sum, distance
 from lodestar.functions.vectors import linear
 from lodestar.operators.indexes import assign, hyperplanes, literal, lloyd, residual_encode
-from lodestar.operators.search import top_k
+from lodestar.operators.search import knn, top_k
 
 # -- inverted lists
 
@@ -95,15 +95,24 @@ def product_residual_encode(df: DataFrame, books) -> DataFrame:
     return out.select(*[c for c in df.columns if c != "v"], F.col("_whole").alias("v"), F.concat(*[f"_code{j}" for j in n]).alias("code"), F.concat(*[f"_rest{j}" for j in n]).alias("rest"))
 
 
-def anisotropic_encode(df: DataFrame, books, threshold: float = 0.2) -> DataFrame:
-    """Codes that weigh the error along the vector more than across it: weight eta = (d - 1) t^2 / (1 - t^2), by one pass of
-    coordinate descent from the nearest centroids."""
+def anisotropic_encode(df: DataFrame, books, threshold: float = 0.2, passes: int = 2) -> DataFrame:
+    """Codes that weigh the error along the vector more than across it: weight eta = (d - 1) t^2 / (1 - t^2). Coordinate
+    descent: from the nearest centroids, each pass chooses piece by piece the centroid with the least weighted error of
+    the whole vector, given the other pieces' errors along it."""
     m, d = len(books), len(books[0][0])
     eta = (m * d - 1) * threshold**2 / (1 - threshold**2)
-    out = df.withColumn("_n2", F.expr("aggregate(v, 0D, (a, x) -> a + x * x)"))
     piece = f"slice(v, j * {d} + 1, {d})"
-    cost = f"struct({coordinate_sum('(x - y) * (x - y)', 'c', piece)} + {eta - 1}D * power({coordinate_sum('(x - y) * x', piece, 'c')}, 2) / CASE WHEN _n2 = 0 THEN 1D ELSE _n2 END AS d, k AS k)"
-    return out.withColumn("code", F.expr(f"transform({literal(books)}, (book, j) -> array_min(transform(book, (c, k) -> {cost})).k)")).drop("_n2")
+    # for each piece and centroid: s, the error, and p, the error along the vector
+    terms = f"transform({literal(books)}, (book, j) -> transform(book, (c, k) -> struct({coordinate_sum('(x - y) * (x - y)', 'c', piece)} AS s, {coordinate_sum('(x - y) * x', piece, 'c')} AS p, k AS k)))"
+    out = df.withColumn("_n2", F.expr("aggregate(v, 0D, (a, x) -> a + x * x)")).withColumn("_t", F.expr(terms))
+    out = out.withColumn("code", F.expr("transform(_t, own -> array_min(transform(own, e -> struct(e.s AS s, e.k AS k))).k)"))
+    weight = f"{eta - 1}D / CASE WHEN _n2 = 0 THEN 1D ELSE _n2 END"
+    for _ in range(passes):
+        for j in range(m):
+            rest = f"aggregate(transform(code, (c, i) -> CASE WHEN i = {j} THEN 0D ELSE _t[i][c].p END), 0D, (a, x) -> a + x)"
+            best = f"array_min(transform(_t[{j}], e -> struct(e.s + {weight} * power(_rest + e.p, 2) AS s, e.k AS k))).k"
+            out = out.withColumn("_rest", F.expr(rest)).withColumn("code", F.expr(f"transform(code, (c, i) -> CASE WHEN i = {j} THEN {best} ELSE c END)"))
+    return out.drop("_n2", "_t", "_rest")
 
 
 def kmeans_1d(x: np.ndarray, k: int) -> np.ndarray:
@@ -160,11 +169,13 @@ def query_aware_parameters(n: int, c: float = 2.0, p: float = 2, false_share: fl
     return {"width": width, "tables": m, "threshold": math.ceil((eta * p1 + p2) / (1 + eta) * m), "p1": p1, "p2": p2}
 
 
-def _rounds(candidates: Callable[[DataFrame, float], DataFrame], base: DataFrame, queries: DataFrame, k: int, start: float, c: float, save, most: int = 31) -> DataFrame:
+def _rounds(candidates: Callable[[DataFrame, float], DataFrame], base: DataFrame, queries: DataFrame, k: int, start: float, c: float, save, most: float = 2.0**40) -> DataFrame:
     """Radius rounds for all queries at once: each takes all rows of its radius, then queries whose k-th distance is within
-    c * radius are settled. What is found only grows with the radius, so the last round's rows are the result."""
+    c * radius are settled. What is found only grows with the radius. Queries that are still open beyond the radius `most`
+    (tables of less than k rows, distances beyond it) are compared with every row, so no list is cut short."""
     open_ones, done, radius = queries, None, start
-    for _ in range(most):
+    n = base.limit(k).count()
+    while radius <= most and n >= k:
         pairs = candidates(open_ones, radius).join(base.select("id", "v"), "id").join(F.broadcast(open_ones), "qid").select("qid", "id", distance("l2").alias("dist"))
         found = save(top_k(pairs, k))
         settled = found.where(F.col("rank") == k).where(F.col("dist") <= c * radius).select("qid")
@@ -174,7 +185,8 @@ def _rounds(candidates: Callable[[DataFrame, float], DataFrame], base: DataFrame
         if open_ones.isEmpty():
             return done
         radius *= c
-    return done.unionByName(found.join(open_ones.select("qid"), "qid", "left_semi"))
+    exact = knn(base, open_ones, k)
+    return exact if done is None else done.unionByName(exact)
 
 
 def query_aware_search(base: DataFrame, queries: DataFrame, k: int, c: float = 2.0, start: float = 0.5, seed: int = 5, tables: int | None = None, save=None) -> DataFrame:

@@ -23,7 +23,8 @@ def vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", *
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), *more)
 
 
-def queries_of(base: DataFrame, condition: str = "id < 20") -> DataFrame:
+def queries_of(base: DataFrame, condition: str = "id % 100 = 0") -> DataFrame:
+    """The stated query set: every row whose id is divisible by 100, so it grows with the table."""
     return base.where(condition).select(F.col("id").alias("qid"), F.col("v").alias("q"))
 
 

@@ -27,7 +27,7 @@ def matrix(m) -> str:
     return "[" + ", ".join(matrix(x) if hasattr(x, "__len__") else f"{float(x)!r}::DOUBLE" for x in m) + "]"
 
 
-BASE = "b AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings), q AS (SELECT id AS qid, v AS q FROM b WHERE id < 20)"
+BASE = "b AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings), q AS (SELECT id AS qid, v AS q FROM b WHERE id % 100 = 0)"
 
 
 def pairs(name: str = "l2", base: str = "b", where: str = "TRUE") -> str:

@@ -108,7 +108,7 @@ def spectral_hash(spark, sf_dir):
 
 @query("query_aware_hash")
 def query_aware_hash(spark, sf_dir):
-    return N.query_aware_search(*both(spark, sf_dir), K, tables=40, save=saver(spark))
+    return N.query_aware_search(*both(spark, sf_dir), K, save=saver(spark))
 
 
 @query("dynamic_bucket_hash")
@@ -162,10 +162,19 @@ def kmeans_3_steps(spark, sf_dir):
     return X.assign(b, c).groupBy("list_no").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("list_dist"), 6).alias("loss"))
 
 
-@query("empty_list_split", "SELECT list_no, count(*) AS n FROM lists GROUP BY list_no")
+#: Centroids of which the last can get no row: it stands far from all of them.
+_FAR = "f AS (SELECT list_no, c FROM c WHERE list_no < 7 UNION ALL SELECT 7, list_transform(c, lambda z: z + 100) FROM c WHERE list_no = 7)"
+_FAR_LISTS = _nearest("b", "id", "v", 1).replace("FROM b, c)", "FROM b, f c)")
+
+
+@query("empty_list_split", f", {_FAR}, own AS ({_FAR_LISTS}), n AS (SELECT list_no, count(*) AS n FROM own GROUP BY list_no), big AS (SELECT list_no FROM n ORDER BY n DESC, list_no LIMIT 1), m AS (SELECT list_no, pos, avg(x) AS x FROM (SELECT list_no, unnest(range(0, 64)) AS pos, unnest(v) AS x FROM own) GROUP BY 1, 2) SELECT list_no, pos, round(CASE WHEN list_no IN (SELECT list_no FROM big) THEN x * CASE WHEN pos % 2 = 1 THEN 1 + 1 / 1024.0::DOUBLE ELSE 1 - 1 / 1024.0::DOUBLE END ELSE x END, 6) AS x FROM m UNION ALL SELECT 7, pos, round(x * CASE WHEN pos % 2 = 1 THEN 1 - 1 / 1024.0::DOUBLE ELSE 1 + 1 / 1024.0::DOUBLE END, 6) FROM m WHERE list_no IN (SELECT list_no FROM big)")
 def empty_list_split(spark, sf_dir):
-    """Sizes after assignment; a centroid that got no row would be split off the largest list on the driver."""
-    return X.assign(base(spark, sf_dir), first_centroids(spark, sf_dir)).groupBy(F.col("list_no").cast("long").alias("list_no")).agg(F.count(F.lit(1)).alias("n"))
+    """One step of k-means in which a centroid gets no row and is split off the largest list."""
+    c = first_centroids(spark, sf_dir, 8)
+    c[7] = c[7] + 100
+    b = base(spark, sf_dir)
+    step = X.split_empty(X.kmeans_step(b, c), 8)
+    return step.select(F.col("list_no").cast("long").alias("list_no"), F.posexplode("c").alias("pos", "x")).select("list_no", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
 
 
 # -- merging and tuning

@@ -6,17 +6,32 @@ streaming forms run the same code on each micro-batch.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df, written into the folder that spark.checkpoint.dir names and read again."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp(prefix="lodestar-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/lodestar/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def add(index: DataFrame, rows: DataFrame) -> DataFrame:
     """Appends rows without ids: numbers follow the largest id. One number to the driver; rows are numbered by partition
     counts, without a global sort."""
-    start = (index.agg(F.max("id")).first()[0] or -1) + 1 if not index.isEmpty() else 0
-    placed = rows.withColumns({"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()})
+    start = index.agg(F.coalesce(F.max("id"), F.lit(-1))).first()[0] + 1
+    # numbers of partitions hold for one run of the plan only, so they are written
+    placed = written(rows.withColumns({"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()}))
     sizes = {r["_p"]: r["count"] for r in placed.groupBy("_p").count().collect()}  # one row for each partition
     offsets, at = {}, start
     for p in sorted(sizes):
