@@ -38,6 +38,15 @@ MEASURES: dict[str, tuple[dict[str, str], str]] = {
 SIMILARITIES = {"inner_product"}
 
 
+def register(name: str, terms: dict[str, str], formula: str, similarity: bool = False) -> None:
+    """Adds a measure under a name: sums of coordinate terms in x and y, by letter, and a formula over the letters."""
+    if MEASURES.get(name, (terms, formula)) != (terms, formula):
+        raise ValueError(f"the measure {name!r} is known already")
+    MEASURES[name] = (terms, formula)
+    if similarity:
+        SIMILARITIES.add(name)
+
+
 def coordinate_sum(term: str, a: str, b: str) -> str:
     return f"aggregate(zip_with({a}, {b}, (x, y) -> CAST({term} AS DOUBLE)), 0D, (acc, z) -> acc + z)"
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.distances import coordinate_sum, distance
 from lodestar.functions.vectors import linear
-from lodestar.operators.search import all_pairs, top_k
+from lodestar.operators.search import all_pairs, checked, top_k
 
 TRAIN_ROWS = 65_536
 
@@ -154,6 +154,19 @@ def polysemous(codes: DataFrame, queries: DataFrame, books, k: int, most: int) -
     return top_k(pairs.select("qid", "id", adc().alias("dist")), k)
 
 
+def residuals(assigned: DataFrame, centroids) -> DataFrame:
+    """Rows with a list_no, with `r`: what the list's centroid leaves of v."""
+    return assigned.withColumn("r", F.expr(f"zip_with(v, {literal(centroids)}[list_no], (x, y) -> x - y)"))
+
+
+def residual_pq_pairs(codes: DataFrame, probes: DataFrame, centroids, books) -> DataFrame:
+    """(qid, id, dist) of codes (id, list_no, code) of residuals in the lists that queries probe (qid, q, list_no): each
+    list has its own table of distances for a query."""
+    rest = probes.withColumn("r", F.expr(f"zip_with(q, {literal(centroids)}[list_no], (x, y) -> x - y)"))
+    tables = pq_tables(rest, books, "r").select("qid", "list_no", "lut")
+    return codes.join(F.broadcast(tables) if checked(tables, 65_536) else tables, "list_no").select("qid", "id", adc().alias("dist"))
+
+
 def residual_encode(df: DataFrame, stages) -> DataFrame:
     """Greedy residual quantizer: each stage codes what the stages before it left."""
     out = df.withColumn("rest", F.col("v")).withColumn("code", F.expr("array()").cast("array<int>"))
