@@ -8,6 +8,7 @@ compressed methods are approximate, `search.refine` computes exact ones.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,11 +26,16 @@ def literal(matrix) -> str:
     return "array(" + ", ".join(literal(x) for x in matrix) + ")"
 
 
-def training_rows(base: DataFrame, n: int = TRAIN_ROWS) -> np.ndarray:
-    """The n rows with the least ids, as a matrix on the driver: the bound is the parameter."""
+def first_rows(base: DataFrame, n: int) -> np.ndarray:
+    """The n rows with the least ids, as a matrix on the driver: a model that any engine can name."""
     return np.array([r.v for r in base.orderBy("id").limit(n).select("v").collect()], np.float64)
 
 
+def training_rows(base: DataFrame, n: int = TRAIN_ROWS, seed: int = 23) -> np.ndarray:
+    """A seeded random sample of n rows, as a matrix on the driver: the bound is the parameter."""
+    return np.array([r.v for r in base.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n).select("v").collect()], np.float64)
+
+
 def lloyd(x: np.ndarray, k: int, steps: int = 25, spherical: bool = False, weights: np.ndarray | None = None) -> np.ndarray:
     """k-means from the first k rows; ties go to the lower centroid; an empty one is split off the largest by 1 +- 1/1024."""
     c = x[:k].copy()
@@ -307,19 +313,32 @@ def forest(x: np.ndarray, trees: int, leaf: int, seed: int) -> list[list[tuple[n
 
 
 def leaf_codes(df: DataFrame, trees, vec: str = "v") -> DataFrame:
-    """df with one row for each tree: tree number and leaf."""
-    leaves = []
-    for nodes in trees:
-        planes, cuts = literal([w for w, _ in nodes]), literal([t for _, t in nodes])
-        depth = (len(nodes) + 1).bit_length() - 1
-        leaves.append(f"aggregate(sequence(1, {depth}), 0, (n, i) -> 2 * n + 1 + CASE WHEN {coordinate_sum('x * y', f'{planes}[n]', vec)} >= {cuts}[n] THEN 1 ELSE 0 END)")
-    return df.select(*df.columns, F.posexplode(F.expr("array(" + ", ".join(leaves) + ")")).alias("tree", "leaf"))
+    """df with one row for each tree: tree number and leaf. Rows go down all trees in blocks, a level at a time."""
+    planes = [np.array([w for w, _ in nodes]) for nodes in trees]
+    cuts = [np.array([t for _, t in nodes]) for nodes in trees]
+    depths = [(len(nodes) + 1).bit_length() - 1 for nodes in trees]
+    names = df.columns
+
+    def run(batches):
+        for batch in batches:
+            x = batch.column(names.index(vec)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            leaves = np.empty((batch.num_rows, len(trees)), np.int32)
+            for t, (p, c) in enumerate(zip(planes, cuts)):
+                n = np.zeros(batch.num_rows, np.int64)
+                for _ in range(depths[t] if batch.num_rows else 0):
+                    n = 2 * n + 1 + (np.einsum("ij,ij->i", p[n], x) >= c[n])
+                leaves[:, t] = n
+            again = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), len(trees))))
+            yield pa.RecordBatch.from_arrays([*again.columns, pa.array(np.tile(np.arange(len(trees), dtype=np.int32), batch.num_rows)), pa.array(leaves.ravel())], [*names, "tree", "leaf"])
+
+    return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), "tree int, leaf int"]))
 
 
 def forest_search(base: DataFrame, queries: DataFrame, trees, k: int) -> DataFrame:
     """Rows that share a leaf with the query in some tree, verified exactly."""
     q = leaf_codes(queries, trees, "q")
-    pairs = leaf_codes(base, trees).join(F.broadcast(q), ["tree", "leaf"]).dropDuplicates(["qid", "id"])
+    q = F.broadcast(q) if checked(queries) else q
+    pairs = leaf_codes(base.select("id", "v"), trees).join(q, ["tree", "leaf"]).dropDuplicates(["qid", "id"])
     return top_k(pairs.select("qid", "id", distance("l2").alias("dist")), k)
 
 
@@ -382,13 +401,14 @@ def occlusion_prune(graph: DataFrame, base: DataFrame, degree: int) -> DataFrame
     return left.withColumn("pos", F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))).where(F.col("pos") <= degree).select("src", "pos", "dst", "dist")
 
 
-def graph_search(graph: DataFrame, base: DataFrame, queries: DataFrame, k: int, beam: int = 32, hops: int = 12, entries: list[int] | None = None, save=None) -> DataFrame:
+def graph_search(graph: DataFrame, base: DataFrame, queries: DataFrame, k: int, beam: int = 32, hops: int = 12, entries: list[int] | None = None, save=None, start: DataFrame | None = None) -> DataFrame:
     """Beam search for all queries at once: each hop expands the unexpanded rows of every query's beam by a join with the
     edges; a hop's frontier is bounded by queries * beam * degree, and beams are written."""
     save = save or (lambda df: df.checkpoint())
     vec = base.select("id", "v")
-    seeds = entries or [r.id for r in base.orderBy(F.xxhash64("id")).limit(4).collect()]
-    start = queries.select("qid", F.explode(F.array(*[F.lit(x).cast("long") for x in seeds])).alias("id"))
+    if start is None:
+        seeds = entries or [r.id for r in base.orderBy(F.xxhash64("id")).limit(4).collect()]
+        start = queries.select("qid", F.explode(F.array(*[F.lit(x).cast("long") for x in seeds])).alias("id"))
 
     def scored(pairs: DataFrame) -> DataFrame:
         return pairs.join(vec, "id").join(F.broadcast(queries), "qid").select("qid", "id", distance("l2").alias("dist"), F.lit(False).alias("seen"))

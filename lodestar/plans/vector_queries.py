@@ -270,7 +270,7 @@ _FIRST = "c AS (SELECT id AS list_no, v AS c FROM b WHERE id < 16)"
 
 
 def first_centroids(spark, sf_dir, n: int = 16) -> np.ndarray:
-    return X.training_rows(base(spark, sf_dir), n)
+    return X.first_rows(base(spark, sf_dir), n)
 
 
 def _nearest(side: str, key: str, vec: str, n: int) -> str:
