@@ -56,9 +56,33 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = shared_path(spark, tag)
     with cleaned(spark):
         df.write.parquet(path)
+    for made in _MADE:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths of the tables that scopes of scratch() have made so far, one list for each open scope.
+_MADE: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are made within are taken away at the end; what is needed later is made outside."""
+    made: list[str] = []
+    _MADE.append(made)
+    try:
+        yield
+    finally:
+        _MADE.remove(made)
+        for path in made:
+            discard(spark, path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 @contextmanager
 def cleaned(spark: SparkSession):
     """What runs within gives up its shuffle files when it has ended."""

@@ -292,8 +292,16 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", least: fl
     """One document of each class, with its own columns; of repeated rows one."""
     # of each class only its head stays, by id and text; no join by class, some are large
     head = (F.col("own") == F.col("class_own")) & (F.col("node") == F.col("class_node"))
-    classes, shared_by = near_duplicate_classes(docs, key, text, least)
-    found = _shared.materialize(classes.select("own", "node", head.alias("head")), "classes")
+    spark = docs.sparkSession
+    found_at, shared_at = _shared.shared_path(spark, "classes"), _shared.shared_path(spark, "shared")
+    with _shared.scratch(spark):
+        classes, shared_by = near_duplicate_classes(docs, key, text, least)
+        with _shared.cleaned(spark):
+            classes.select("own", "node", head.alias("head")).write.parquet(found_at)
+            if shared_by is not None:
+                shared_by.write.parquet(shared_at)
+    found = spark.read.parquet(found_at)
+    shared_by = None if shared_by is None else spark.read.parquet(shared_at)
     gone = found.where("NOT head").select("own", "node").distinct()
     named = _shared.wrapped(docs, own=order_of(F.col(key)), node=node_of(F.col(text)), check=check_of(F.col(text)))
     named = told_apart(named, shared_by).withColumnsRenamed({"own": "_own", "node": "_node"})

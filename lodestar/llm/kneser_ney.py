@@ -428,7 +428,8 @@ def train(texts: DataFrame, order: int = ORDER, shard_bytes: int = SHARD_BYTES)
     _, size = _shared.input_bytes(texts)
     shards = max(1, -(-size // shard_bytes))
     folder = _shared.local_path(_shared.shared_path(spark, "ngrams"))
-    stats, size = count_grams(texts.select("text"), order, shards, folder)
+    with _shared.scratch(spark):
+        stats, size = count_grams(texts.select("text"), order, shards, folder)
     return {"folder": folder, "order": order, "shards": shards, "size": size, "stats": stats}
 
 

@@ -407,9 +407,12 @@ def repeat_spans(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     spark = docs.sparkSession
     _, size = _shared.input_bytes(docs)
     shards = max(1, -(-size // shard_bytes))
-    folder = _shared.local_path(_shared.shared_path(spark, "probes"))
+    uri = _shared.shared_path(spark, "probes")
+    folder = _shared.local_path(uri)
     repeated_probes(docs, shards, folder)
-    return repeat_runs(docs, folder, shards).groupBy("own", "node").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
+    runs = _shared.materialize(repeat_runs(docs, folder, shards), "runs")
+    _shared.discard(spark, uri)
+    return runs.groupBy("own", "node").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
 
 
 def new_index(spark: SparkSession, expected_bytes: int, shard_bytes: int = SHARD_BYTES) -> dict:
