@@ -27,7 +27,7 @@ def base(spark):
 
 @pytest.fixture(scope="module")
 def queries(base):
-    return S.queries_of(base)
+    return S.queries_of(base, "id < 20")
 
 
 def test_distances_against_numpy(spark):
