@@ -38,9 +38,11 @@ from lodestar.llm._kernels import BASE, BYTES, U, mix, span_hashes
 from lodestar.llm.bagminhash import node_of, order_of
 
 LENGTH, PROBE = 50, 24
-#: Text for each shard (a task's memory holds some ten times that), windows of a batch and of a block of a merge-scan,
-#: what a map task gathers before it sends, windows of a segment, and the rows from which on a hash is hot.
+#: Text for each shard (a task's memory holds some ten times that), text that is hashed at once (some 100 bytes of memory
+#: a byte), windows of a batch and of a block of a merge-scan, what a map task gathers before it sends, windows of a
+#: segment, and the rows from which on a hash is hot.
 SHARD_BYTES = 4 << 20
+SLICE = 1 << 18
 BATCH, BLOCK = 1 << 18, 1 << 16
 GATHER_RUNS, GATHER_BYTES = 600_000, 12 << 20
 SEGMENT = 1 << 14
@@ -139,7 +141,7 @@ def repeated_probes(docs: DataFrame, shards: int, folder: str) -> None:
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), *(pa.array([x[c] for x in found], pa.binary()) for c in (1, 2))], ["shard", "keys", "seen"])
 
         for batch in batches:
-            for _, texts in _shared.slices(batch, "text", 1 << 20):
+            for _, texts in _shared.slices(batch, "text", SLICE):
                 probe, row, _, _ = window_runs(*_shared.buffers_of(texts))
                 runs.append(probe)
                 rows.append((row + base).astype(np.uint32))
@@ -336,7 +338,7 @@ def repeat_runs(docs: DataFrame, folder: str, shards: int, filtered: bool = True
 
         held = 0
         for batch in batches:
-            for part, texts in _shared.slices(batch, "text", 1 << 20):
+            for part, texts in _shared.slices(batch, "text", SLICE):
                 data, offsets = _shared.buffers_of(texts)
                 probe, row, first, last = window_runs(data, offsets)
                 if filtered:
