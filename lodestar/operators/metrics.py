@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bands of perf that a Pareto front is first looked for in.
+BANDS = 1024
+
 
 def _hits(result: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     top = lambda x: x.where(F.col("rank") <= k).select("qid", "id", "rank")
@@ -100,10 +105,17 @@ def latency_percentiles(times: DataFrame, column: str, points: tuple[float, ...]
 
 def pareto_front(points: DataFrame) -> DataFrame:
     """Operating points (perf, t, key) that no other one beats: more perf, less time; of equal perf the faster, of equal
-    points the least key; perf 0 is no point."""
+    points the least key; perf 0 is no point. Bands of perf are compared first, by their least times, so that only what no
+    higher band beats is ordered, each band by itself."""
     best = points.where("perf > 0").groupBy("perf").agg(F.min(F.struct("t", "key")).alias("b")).select("perf", "b.t", "b.key")
-    before = F.min("t").over(Window.orderBy(F.col("perf").desc()).rowsBetween(Window.unboundedPreceding, -1))
-    return best.withColumn("_before", before).where("_before IS NULL OR t < _before").drop("_before")
+    low, high = points.where("perf > 0").agg(F.min("perf"), F.max("perf")).first()
+    width = float(high - low) / BANDS if low is not None and math.isfinite(high - low) else 0.0
+    banded = best.withColumn("_band", F.floor((F.col("perf") - F.lit(low)) / width).cast("int") if width else F.lit(0))
+    above = Window.orderBy(F.col("_band").desc()).rowsBetween(Window.unboundedPreceding, -1)  # over BANDS + 1 rows at most
+    least = banded.groupBy("_band").agg(F.min("t").alias("_t")).select("_band", F.min("_t").over(above).alias("_above"))
+    left = banded.join(F.broadcast(least), "_band").where("_above IS NULL OR t < _above")
+    own = Window.partitionBy("_band").orderBy(F.col("perf").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    return left.withColumn("_before", F.min("t").over(own)).where("_before IS NULL OR t < _before").select("perf", "t", "key")
 
 
 def time_for_perf(points: DataFrame, targets: list[float]) -> DataFrame:

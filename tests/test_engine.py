@@ -179,3 +179,14 @@ def test_window_of_slices_is_the_merged_index(base, queries):
 def test_library_stands_without_the_corpus_part():
     code = "import sys; sys.modules['lodestar.llm'] = None\nimport lodestar.plans.catalogue as c; assert len(c.QUERIES) > 100"
     assert subprocess.run([sys.executable, "-c", code], capture_output=True).returncode == 0
+
+
+def test_pareto_front_by_bands(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([rng.random() * 1e6, rng.randint(-8, 40) / 8]), rng.randint(0, 4000) / 4, f"k{k}") for k in range(400)]
+    beaten = lambda a: any(b[0] > a[0] and b[1] <= a[1] or b[0] == a[0] and b[1:] < a[1:] for b in rows)
+    points = spark.createDataFrame(rows, "perf double, t double, key string")
+    assert sorted(map(tuple, E.pareto_front(points).collect())) == sorted(a for a in rows if a[0] > 0 and not beaten(a))
+    same = spark.createDataFrame([(2.0, 3.0, "a"), (2.0, 3.0, "b")], points.schema)
+    assert [tuple(r) for r in E.pareto_front(same).collect()] == [(2.0, 3.0, "a")]
+    assert E.pareto_front(points.limit(0)).count() == 0
