@@ -3,8 +3,8 @@
 Pass one scatters the rows uniformly, by a seeded hash, into buckets of a size that fits a task's memory; their number
 follows from the table's rows and bytes. Pass two shuffles each bucket by Fisher-Yates (Spark's own shuffle of an
 array, with a seed) over rows in a fixed order, one bucket after another within a partition. A row's place in the whole
-order is its bucket's start (a running sum of bucket counts) plus its place in the bucket; place p goes to shard
-p mod n, slot p div n. So shard counts differ by one at most and slots have no gaps: the law `rows`.
+order is its bucket's start (a running sum of bucket counts, by blocks of buckets) plus its place in the bucket; place p
+goes to shard p mod n, slot p div n. So shard counts differ by one at most and slots have no gaps: the law `rows`.
 
 Defined results: a null text has no bytes (size 16, checksum 0); repeated rows and equal texts are rows of their own,
 so no group of copies gathers in one bucket; nulls in any column are kept; an empty table gives no rows; columns of the
@@ -13,6 +13,8 @@ input are carried, but for any called position, shard or slot, which the result'
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ from lodestar.llm import _shared
 SHARDS = 40
 BUCKET_BYTES = 64 << 20
 BUCKET_ROWS = 10_000
+#: Bucket starts are broadcast up to so many (two longs each, some 25 MB as a hash table) and joined by shuffle beyond.
+BROADCAST_BUCKETS = 1 << 19
 
 
 def scatter(rows: DataFrame, buckets: int, seed: int) -> DataFrame:
@@ -36,6 +40,16 @@ def record_bytes(rows: DataFrame) -> Column:
     return sum((F.coalesce(F.octet_length(f"`{c}`"), F.lit(0)).cast("long") for c in long), F.lit(64))
 
 
+def bucket_starts(counts: DataFrame, buckets: int) -> DataFrame:
+    """(_bucket, _start) from (_bucket, _n): the rows of all buckets before. Blocks of buckets are summed first, so that no
+    task orders more than about the root of their number."""
+    blocked = counts.withColumn("_block", F.floor(F.col("_bucket") / (math.isqrt(buckets) + 1)))
+    blocks = blocked.groupBy("_block").agg(F.sum("_n").alias("_all"))
+    before = blocks.select("_block", (F.sum("_all").over(Window.orderBy("_block")) - F.col("_all")).alias("_before"))
+    own = F.sum("_n").over(Window.partitionBy("_block").orderBy("_bucket")) - F.col("_n")
+    return blocked.join(before, "_block").select("_bucket", (own + F.col("_before")).alias("_start"))
+
+
 def external_shuffle(rows: DataFrame, seed: int, row_bytes: Column | None = None, bucket_bytes: int = BUCKET_BYTES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Adds `position`: a uniformly random order of all rows. row_bytes: the size of a row, record_bytes where none is given."""
     columns = rows.columns
@@ -48,8 +62,8 @@ def external_shuffle(rows: DataFrame, seed: int, row_bytes: Column | None = None
     # written row by row: a file of whole buckets would be read with all of a bucket's records at once
     mixed = _shared.materialize(whole.select("_bucket", F.posexplode(F.shuffle("_rows", F.lit(seed))).alias("_k", "_row")), "buckets")
     counts = mixed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    starts = counts.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_start"))
-    out = mixed.join(F.broadcast(starts), "_bucket")
+    starts = bucket_starts(counts, buckets).hint("broadcast" if buckets <= BROADCAST_BUCKETS else "shuffle_hash")
+    out = mixed.join(starts, "_bucket")
     return out.select(*[F.col(f"_row.c{k}").alias(c) for k, c in enumerate(columns)], (F.col("_start") + F.col("_k")).alias("position"))
 
 

@@ -92,6 +92,22 @@ def test_buckets_follow_the_bytes(spark, monkeypatch):
     assert seen == [11]  # 40 records of 1064 bytes
 
 
+def test_many_buckets_are_joined_by_shuffle(spark, monkeypatch):
+    rows = spark.range(300).selectExpr("id", "'x' AS t")
+    broadcast = sorted(tuple(r) for r in sharding.external_shuffle(rows, 3, bucket_rows=4).collect())
+    monkeypatch.setattr(sharding, "BROADCAST_BUCKETS", 0)
+    out = sharding.external_shuffle(rows, 3, bucket_rows=4)
+    assert "Broadcast" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in out.collect()) == broadcast
+    assert sorted(x[-1] for x in broadcast) == list(range(300))
+
+
+def test_bucket_starts(spark):
+    counts = {b: b % 7 + 1 for b in range(0, 90, 2)}
+    out = sharding.bucket_starts(spark.createDataFrame(list(counts.items()), "_bucket long, _n long"), 90).collect()
+    assert {r._bucket: r._start for r in out} == {b: sum(n for c, n in counts.items() if c < b) for b in counts}
+
+
 def test_order_is_random(spark):
     rows = spark.range(4000).selectExpr("id", "'x' AS t")
     out = [r.id for r in sharding.external_shuffle(rows, 3, bucket_rows=500).orderBy("position").collect()]
