@@ -30,7 +30,7 @@ BROADCAST_BUCKETS = 1 << 19
 def scatter(rows: DataFrame, buckets: int, seed: int) -> DataFrame:
     """Pass one: (_bucket, _row). The row's place in its input partition is hashed too, so that repeated rows part."""
     own = [F.col(f"`{c}`") for c in rows.columns]
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id(), *own), F.lit(buckets))
+    bucket = F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id(), *own), F.lit(buckets)).cast("int")
     return rows.select(bucket.alias("_bucket"), F.struct(*[c.alias(f"c{k}") for k, c in enumerate(own)]).alias("_row"))
 
 
@@ -55,8 +55,8 @@ def external_shuffle(rows: DataFrame, seed: int, row_bytes: Column | None = None
     columns = rows.columns
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(record_bytes(rows) if row_bytes is None else row_bytes).alias("b")).first()
     buckets = max(1, -(-size.n // bucket_rows), -(-(size.b or 0) // bucket_bytes))
-    # a task gathers all of its buckets before it writes one, so about one bucket a task
-    whole = scatter(rows, buckets, seed).repartition(buckets, "_bucket").groupBy("_bucket").agg(F.collect_list("_row").alias("_rows"))
+    # a task gathers all of its buckets before it writes one: the bucket's number is the partition's, so each has one
+    whole = scatter(rows, buckets, seed).repartitionById(buckets, F.col("_bucket")).groupBy("_bucket").agg(F.collect_list("_row").alias("_rows"))
     # rows and buckets in a fixed order before the seeded shuffle: a task that runs again gives the same result
     whole = whole.withColumn("_rows", F.sort_array("_rows")).sortWithinPartitions("_bucket")
     # written row by row: a file of whole buckets would be read with all of a bucket's records at once
