@@ -33,11 +33,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words [^\\x20\\x09-\\x0D]+ of each row, and the row of each."""
+def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of each row, runs of bytes that the table `breaks` does not name, and the row of each."""
     if not len(data):
         return (np.empty(0, np.int64),) * 3
-    solid = ~SPACE[data]
+    solid = ~breaks[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     heads = offsets[:-1][offsets[:-1] < offsets[1:]]
