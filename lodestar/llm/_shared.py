@@ -48,15 +48,15 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/lodestar/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """Writes df into the shared folder and reads it again: cuts the lineage, and lost executors cost no recomputation.
-    The shuffle files of the step are given up with it."""
+    The shuffle files of the step are given up with it. keep: open scopes of scratch() leave the table."""
     spark = df.sparkSession
     bounded(spark)
     path = shared_path(spark, tag)
     with cleaned(spark):
         df.write.parquet(path)
-    for made in _MADE:
+    for made in () if keep else _MADE:
         made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
