@@ -51,14 +51,20 @@ def shared_path(spark: SparkSession, tag: str) -> str:
 def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """Writes df into the shared folder and reads it again: cuts the lineage, and lost executors cost no recomputation.
     The shuffle files of the step are given up with it. keep: open scopes of scratch() leave the table."""
+    path = written(df, tag)
+    for made in () if keep else _MADE:
+        made.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written(df: DataFrame, tag: str) -> str:
+    """The path of a table of its own in the shared folder; for tables that discard() takes away before a scope ends."""
     spark = df.sparkSession
     bounded(spark)
     path = shared_path(spark, tag)
     with cleaned(spark):
         df.write.parquet(path)
-    for made in () if keep else _MADE:
-        made.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 #: Paths of the tables that scopes of scratch() have made so far, one list for each open scope.
