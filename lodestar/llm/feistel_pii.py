@@ -2,20 +2,28 @@
 
 Numbers and dates are found by pattern and validated (card checksums, IBAN checksums, ranges of social security numbers,
 addresses and calendar dates). A keyed Feistel network permutes each within its own format, so the result is valid again,
-separators and lengths stay, and equal values get equal pseudonyms in all documents:
+separators stay, lengths too but for IPv4 addresses, and equal values get equal pseudonyms in all documents:
 
 - payment cards: the digits before the check digit, under a new check digit
 - IBANs: the digits and letters behind the check digits, each kind in its places, under new check digits
-- social security numbers, by the valid areas, groups and serials; phone numbers, all digits
-- dates between 1800-01-01 and 2199-12-31, by the day's number; IPv4 addresses, all 32 bits
+- social security numbers, by the valid areas, groups and serials
+- phone numbers, all digits but the country code's behind a plus sign; area codes are not validated
+- dates between 1800-01-01 and 2199-12-31, by the day's number
+- IPv4 addresses, all 32 bits: the new octets may have more or fewer digits
 - hexadecimal keys of 32 digits and more, digit by digit; runs of 13 to 19 digits that fail the card checksum stay
-- e-mail addresses, in lower case: the letters and the digits, each kind in its places, of all but the last label
+- e-mail addresses, in lower case: the letters and the digits, each kind in its places, of all but the last label; the digits
+  depend on the letters, too. A local part of over 64 or a label of over 63 characters makes no address; of a domain the
+  first 127 labels are taken
 
 The key is the caller's: an argument, or the session's setting KEY_SETTING. There is none in the code; the registered
 query and the pipeline draw a random one for a session that sets none, so their pseudonyms link values within the session.
 
 The network has eight rounds over two parts a and b of a mixed-radix number: a = (a + F(b)) mod A, then b = (b + F(a))
-mod B, with F from SHA-256 over key, format, round and the other part.
+mod B, with F from SHA-256 over key, format, what the value depends on, sizes, round and the other part. A single digit or
+letter has no two parts: it is a number of a slightly larger pair of sizes, permuted until it falls into its range again.
+
+Patterns take time in proportion to the text: what repeats is possessive or bounded and begins at one place of a run, so no
+match goes back over a long run and none is nested deeper than a domain's labels.
 
 Defined results: null and empty texts stay as they are; values that fail their validation stay; repeated rows get the same
 result; nulls in other columns do not matter; an empty table gives no rows; columns of the input keep their names.
@@ -36,13 +44,14 @@ from lodestar.llm.host_rules import let
 KEY_SETTING = "spark.lodestar.pseudonym.secret"
 ROUNDS = 8
 # The formats, in the order in which they are tried at a place.
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[._%+-]*+[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){0,125}\.[A-Za-z]{2,63}+"
 IBAN = r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"
 HEX = r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])"
 IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"
+COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 ANY = "|".join((EMAIL, IBAN, HEX, IPV4, DATE, SSN, PHONE, CARD))
 
@@ -54,43 +63,65 @@ def session_key(spark: SparkSession) -> str:
     return spark.conf.get(KEY_SETTING)
 
 
-def keyed(key: str, kind: str, round_no: int, part: Column) -> Column:
+def keyed(key: str, kind: str, round_no: Column, salt: Column, part: Column) -> Column:
     """A 56-bit keyed number."""
-    return F.conv(F.substring(F.sha2(F.concat(F.lit(f"{key}|{kind}|{round_no}|"), part.cast("string")), 256), 1, 14), 16, 10).cast("long")
+    return F.conv(F.substring(F.sha2(F.concat(F.lit(f"{key}|{kind}|"), round_no.cast("string"), F.lit("|"), salt, F.lit("|"), part.cast("string")), 256), 1, 14), 16, 10).cast("long")
 
 
-def feistel(a: Column, b: Column, size_a: Column | int, size_b: Column | int, key: str, kind: str) -> Column:
-    """Permutes the pairs of [0, A) x [0, B); a struct of a and b. Keyed by format and sizes."""
+def feistel(a: Column, b: Column, size_a: Column | int, size_b: Column | int, key: str, kind: str, tweak: Column | None = None, walk: tuple[int, int] | None = None) -> Column:
+    """Permutes the pairs of [0, A) x [0, B); a struct of a and b. Keyed by format, tweak and sizes. walk: (n, times), to
+    go through the network again, up to so many times in all, while the pair's number a B + b is not below n."""
     size_a, size_b = (F.lit(x).cast("long") if isinstance(x, int) else x for x in (size_a, size_b))
-    state = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"), size_a.alias("size_a"), size_b.alias("size_b"))
+    salt = F.concat_ws("|", F.lit("") if tweak is None else tweak, size_a.cast("string"), size_b.cast("string"))
+    names = ("size_a", "size_b", "salt", "done")
+    state = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"), size_a.alias("size_a"), size_b.alias("size_b"), salt.alias("salt"), F.lit(False).alias("done"))
+
+    def step(s: Column, k: Column) -> Column:
+        same = [s[c].alias(c) for c in names]
+        even = F.struct(F.pmod(s["a"] + keyed(key, kind, k, s["salt"], s["b"]), s["size_a"]).alias("a"), s["b"].alias("b"), *same)
+        odd = F.struct(s["a"].alias("a"), F.pmod(s["b"] + keyed(key, kind, k, s["salt"], s["a"]), s["size_b"]).alias("b"), *same)
+        return F.when(k % 2 == 0, even).otherwise(odd)
+
+    if walk is None:
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), state, step)
+
+    def walked(s: Column, k: Column) -> Column:
+        done = s["done"] | ((k > 0) & (k % ROUNDS == 0) & (s["a"] * s["size_b"] + s["b"] < walk[0]))
+        held = F.struct(*[s[c].alias(c) for c in ("a", "b", *names[:-1])], F.lit(True).alias("done"))
+        return F.when(done, held).otherwise(step(s, k % ROUNDS))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS * walk[1] - 1)), state, walked)
 
-    def step(k: int) -> Callable[[Column], Column]:
-        def run(s: Column) -> Column:
-            if k % 2 == 0:
-                return F.struct(F.pmod(s["a"] + keyed(key, kind, k, s["b"]), s["size_a"]).alias("a"), s["b"].alias("b"), s["size_a"].alias("size_a"), s["size_b"].alias("size_b"))
-            return F.struct(s["a"].alias("a"), F.pmod(s["b"] + keyed(key, kind, k, s["a"]), s["size_b"]).alias("b"), s["size_a"].alias("size_a"), s["size_b"].alias("size_b"))
 
-        return run
+#: Sizes of two parts whose pairs hold a single digit of a radix.
+SINGLE = {10: (4, 3), 16: (4, 4), 26: (9, 3)}
 
-    for k in range(ROUNDS):
-        state = let(state, step(k))
-    return state
 
+def permute_single(number: Column, key: str, kind: str, radix: int, tweak: Column) -> Column:
+    """A permutation of [0, radix): the network over a pair that holds it, again while the result is outside. The pairs
+    outside are few, and a walk meets each of them once at most."""
+    size_a, size_b = SINGLE[radix]
+    out = feistel(F.floor(number / size_b), F.pmod(number, F.lit(size_b)), size_a, size_b, key, f"{kind}-one", tweak, (radix, size_a * size_b - radix + 1))
+    return let(out, lambda s: s["a"] * size_b + s["b"])
 
-def permute_digits(digits: Column, key: str, kind: str, radix: int = 10) -> Column:
-    """A permutation of the digit strings of each length; longer ones than 24 (22 beyond radix 16) in blocks of that."""
+
+def permute_digits(digits: Column, key: str, kind: str, radix: int = 10, tweak: Column | None = None) -> Column:
+    """A permutation of the digit strings of each length; longer ones than 24 (22 beyond radix 16) in blocks of that. tweak:
+    what the permutation depends on besides."""
+    tweak = F.lit("") if tweak is None else tweak
+    number = lambda s: F.coalesce(F.conv(s, radix, 10).cast("long"), F.lit(0))
+    text = lambda n, width: F.when(width > 0, F.lpad(F.lower(F.conv(n.cast("string"), 10, radix)), width, "0")).otherwise("")
+    size = lambda n: F.pow(F.lit(float(radix)), n).cast("long")
 
     def whole(d: Column) -> Column:
         half = F.floor(F.length(d) / 2).cast("int")
 
         def run(p: Column) -> Column:
-            size = lambda n: F.pow(F.lit(float(radix)), n).cast("long")
-            number = lambda s: F.coalesce(F.conv(s, radix, 10).cast("long"), F.lit(0))
-            text = lambda n, width: F.when(width > 0, F.lpad(F.lower(F.conv(n.cast("string"), 10, radix)), width, "0")).otherwise("")
-            out = feistel(number(p["x"]), number(p["y"]), size(F.length(p["x"])), size(F.length(p["y"])), key, kind)
+            out = feistel(number(p["x"]), number(p["y"]), size(F.length(p["x"])), size(F.length(p["y"])), key, kind, tweak)
             return let(F.struct(out.alias("o"), p["x"].alias("x"), p["y"].alias("y")), lambda r: F.concat(text(r["o"]["a"], F.length(r["x"])), text(r["o"]["b"], F.length(r["y"]))))
 
-        return let(F.struct(F.substr(d, F.lit(1), half).alias("x"), F.substr(d, half + 1).alias("y")), run)
+        single = text(permute_single(number(d), key, kind, radix, tweak), F.lit(1))
+        return F.when(F.length(d) == 1, single).otherwise(let(F.struct(F.substr(d, F.lit(1), half).alias("x"), F.substr(d, half + 1).alias("y")), run))
 
     block = 24 if radix <= 16 else 22  # a half's numbers are exact in a double
     parts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(digits) - 1) / block).cast("int"))), lambda k: let(F.substr(digits, k * block + 1, F.lit(block)), whole))
@@ -191,10 +222,14 @@ def _ipv4(m: Column, key: str) -> Column:
 def _email(m: Column, key: str) -> Column:
     """All but the last label, as one word of letters and one of digits; the address is told apart without case."""
 
-    def run(x: Column) -> Column:
+    def run(found: Column) -> Column:
+        lead = F.regexp_extract(found, r"^[._%+-]*+", 0)
+        return F.concat(lead, let(F.substr(found, F.length(lead) + 1), address))
+
+    def address(x: Column) -> Column:
         head, tail = F.regexp_extract(x, r"^(.*)\.[^.]*$", 1), F.regexp_extract(x, r"(\.[^.]*)$", 1)
         letters = permute_letters(F.regexp_replace(head, "[^a-z]", ""), key, "email")
-        digits = permute_digits(F.regexp_replace(head, "[^0-9]", ""), key, "email-digits")
+        digits = permute_digits(F.regexp_replace(head, "[^0-9]", ""), key, "email-digits", tweak=F.regexp_replace(x, "[0-9]", "0"))
         filled = let(F.struct(digits.alias("d"), letters.alias("l")), lambda n: let(into_places(head, n["d"]), lambda h: into_places(h, n["l"], "[a-z]")))
         return F.concat(filled, tail)
 
@@ -202,7 +237,12 @@ def _email(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    return let(permute_digits(F.regexp_replace(m, "[^0-9]", ""), key, "phone"), lambda n: into_places(m, n))
+    def run(p: Column) -> Column:
+        digits = permute_digits(F.regexp_replace(p["rest"], "[^0-9]", ""), key, "phone", tweak=p["code"])
+        return F.concat(p["code"], let(digits, lambda n: into_places(p["rest"], n)))
+
+    code = F.regexp_extract(m, COUNTRY, 0)
+    return let(F.struct(code.alias("code"), F.substr(m, F.length(code) + 1).alias("rest")), run)
 
 
 def _hex(m: Column, key: str) -> Column:
