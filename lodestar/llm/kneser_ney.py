@@ -201,7 +201,9 @@ class Table:
         good = np.flatnonzero((low < end) & (self.low[np.minimum(low, self.n - 1)] == want))
         place = low[good]
         code = self.code[place]
-        values = self.book[np.minimum(code, len(self.book) - 1)].astype(np.float64)
+        values = np.zeros((len(place), self.width))
+        if len(self.book):  # none where all values stand by themselves
+            values[:] = self.book[np.minimum(code, len(self.book) - 1)]
         if (far := np.flatnonzero(code == BOOK)).size and len(self.rest):
             values[far] = self.values[np.searchsorted(self.rest, place[far])]
         return good, values

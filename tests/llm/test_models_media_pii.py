@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from lodestar.llm import feistel_pii, kneser_ney, matroska, pu_quality
 from tests.llm.conftest import prose
 
@@ -176,6 +178,22 @@ def test_matroska_tables(spark, docs, clashing, empty):
     assert matroska.digest(matroska.store(clashing)).count() == len(rows) and matroska.digest(matroska.store(empty)).count() == 0
 
 
+def test_counts_beyond_16_bits_only(spark):
+    """One word, repeated: all values of a shard's table stand beside its book of frequent ones, which is empty."""
+    n = 200_000
+    docs = spark.createDataFrame([(1, "a " * n), (2, "a a b")], "doc_id long, text string").withColumn("held_out", F.lit(False))
+    model = kneser_ney.train(docs.where("doc_id = 1"), 2, 2 * n // 7 + 1)
+    assert model["shards"] == 7
+    one, two = kneser_ney.score(docs, model).orderBy("doc_id").collect()
+    assert (one.n_tokens, one.n_known, two.n_tokens, two.n_known) == (n + 1, n + 1, 4, 3)
+    # a after a: its count less the discount, and the rest's share by the continuations, of which a has two of three
+    assert 0 > one.score > -30 and one.score > two.score
+    for shard in range(7):
+        table = kneser_ney.Table(model["folder"], f"gram2-{shard}")
+        if table.n:
+            assert len(table.find(np.array([], np.uint64))[0]) == 0
+
+
 TEXTS = ["card 4111 1111 1111 1111 and 4111111111111111, bad 4111111111111112 end", "mail a.b1@x.example.com!", "GB82 WEST 1234 5698 7654 32 x DE89370400440532013000", "ip 10.0.0.1 999.1.1.1", "on 2024-02-29 or 2023-02-29", "ssn 123-45-6789 000-12-3456", "+1 (017) 555-7713", '"9b0b3c6a43eb78aa99cbd7049c572391524f37a8"', "", None, "year 2024 v1.2"]
 
 
