@@ -31,6 +31,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from datetime import datetime
+from functools import lru_cache
 from urllib.parse import quote
 
 import numpy as np
@@ -45,7 +46,7 @@ from lodestar.llm import _shared
 LEAST = 100
 KEY_FIELD = "X-Page-Id"
 #: Bytes of records in an archive, gzip's level, and the bytes that are inflated at once.
-ARCHIVE_BYTES, LEVEL, PIECE = 1 << 20, 3, 1 << 16
+ARCHIVE_BYTES, LEVEL, PIECE = 1 << 20, 1, 1 << 16
 #: Verdicts (some 200 bytes each) that are broadcast; more are joined by a shuffle.
 BROADCAST = 100_000
 #: What `arc_archives` gives as the time of the crawl where none is named.
@@ -155,6 +156,7 @@ def arc_records(content) -> Iterator[dict]:
         yield {"kind": "damaged", "place": began, "error": f"{passed} bytes without a header"}
 
 
+@lru_cache(1 << 12)
 def iso_date(digits: str) -> str | None:
     """YYYY up to YYYYMMDDhhmmss and thousandths as an ISO date; None where it is no date."""
     whole = digits[:14] + "00000101000000"[len(digits[:14]) :]
