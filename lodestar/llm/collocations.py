@@ -36,7 +36,7 @@ from lodestar.llm._kernels import LOWER, U, join_hashes, mix, words
 
 LEAST, LONGEST, COVER, TOP = 10, 3, 50, 2000
 #: Bytes of text in a block and for each shard; shards that a task deals to at once.
-BLOCK_BYTES, SHARD_BYTES, FAN = 8 << 20, 8 << 20, 4096
+BLOCK_BYTES, SHARD_BYTES, FAN = 4 << 20, 4 << 20, 4096
 #: Numbers that are gathered before they are dealt out again.
 GATHER = 1 << 20
 #: Candidates that are ranked in one group.
