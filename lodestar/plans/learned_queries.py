@@ -12,7 +12,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.operators import additive as A
 from lodestar.operators import indexes as X
+from lodestar.operators import insertion as G
+from lodestar.operators import lattice
 from lodestar.operators import learned as R
 from lodestar.operators import more_indexes as N
 from lodestar.operators import search as S
@@ -118,3 +121,59 @@ def hnsw(spark, sf_dir):
     b, q = both(spark, sf_dir)
     save = saver(spark)
     return R.layered_search(R.layered_graph(b, 8, 16, save), b, q, K, 64, save)
+
+
+@query("hnsw_insert")
+def hnsw_insert(spark, sf_dir):
+    """Layers built by insertion, in shards."""
+    b, q = both(spark, sf_dir)
+    return G.search(G.build(b, saver(spark), 16, 64), q, K).drop("compared")
+
+
+@query("flat_insert")
+def flat_insert(spark, sf_dir):
+    """One layer built by insertion; searches start from the nearest of 100 rows."""
+    b, q = both(spark, sf_dir)
+    return G.search(G.build(b, saver(spark), 16, 64, layered=False, starts=100), q, K).drop("compared")
+
+
+def additive_model(b: DataFrame):
+    x = X.training_rows(b, SAMPLE)
+    size = min(64, max(1, len(x)))
+    return x, A.local_search_books(x, 8, size, 6) if len(x) else np.zeros((8, 1, 1))
+
+
+@query("lsq_refined")
+def lsq_refined(spark, sf_dir):
+    """Additive codes by local search with norms in 8 bits, and exact re-ranking."""
+    b, q = both(spark, sf_dir)
+    x, books = additive_model(b)
+    return S.refine(A.search(A.encode(b, books), q, books, FACTOR * K, "int8", A.norm_range(x, books)), b, q, K)
+
+
+def additive_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean squared error over the whole table at eight bytes a row: residual codes, greedy and by beam, and local search."""
+    b, _ = both(spark, sf_dir)
+    x, books = additive_model(b)
+    residual = A.residual_books(x, 8, min(64, max(1, len(x)))) if len(x) else books
+    rows = [A.encode(b, c, how).select(F.lit(how).alias("method"), "error") for how, c in (("greedy", residual), ("beam", residual), ("local", books))]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("method").agg(F.avg("error").alias("error"), F.count(F.lit(1)).alias("n"))
+
+
+QUERIES["additive_errors"] = additive_errors
+
+
+def lattice_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each piece of four coordinates as a point of the sphere of squared radius 10: code, and what it gives back."""
+    return lattice.code_pieces(both(spark, sf_dir)[0], 4, 10)
+
+
+QUERIES["lattice_codes"] = lattice_codes
+ORACLES["lattice_codes"] = """
+WITH c AS (SELECT unnest(range(-3, 4)) AS c), p AS (SELECT [a.c, b.c, d.c, e.c] AS point FROM c a, c b, c d, c e WHERE a.c * a.c + b.c * b.c + d.c * d.c + e.c * e.c = 10),
+s AS (SELECT point, list_transform(point, lambda x: abs(x)) AS size FROM p),
+o AS (SELECT point, row_number() OVER (ORDER BY list_reverse_sort(size) DESC, size, list_reduce(list_prepend(0, list_transform(list_filter(point, lambda x: x != 0), lambda x: CASE WHEN x < 0 THEN 1 ELSE 0 END)), lambda x, y: 2 * x + y)) - 1 AS code FROM s),
+v AS (SELECT vec_id AS id, k AS piece, list_slice(embedding, 4 * k + 1, 4 * k + 4)::DOUBLE[] AS x FROM (SELECT vec_id, embedding, unnest(range(0, len(embedding) // 4)) AS k FROM embeddings)),
+m AS (SELECT id, piece, code, point, row_number() OVER (PARTITION BY id, piece ORDER BY x[1] * point[1] + x[2] * point[2] + x[3] * point[3] + x[4] * point[4] DESC, code) AS place FROM v, o)
+SELECT id, piece, code, point FROM m WHERE place = 1
+"""
