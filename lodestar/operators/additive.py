@@ -21,7 +21,7 @@ from lodestar.operators.indexes import lloyd
 from lodestar.operators.search import top_k
 
 NORMS = {"float": 0, "int8": 8, "int4": 4, "none": 0}
-QUERY_BLOCK, BLOCK = 1024, 2048
+QUERY_BLOCK, BLOCK, BEAM = 1024, 2048, 8
 
 
 def residual_books(x: np.ndarray, books: int, size: int, steps: int = 10) -> np.ndarray:
@@ -96,25 +96,25 @@ def local_search(x: np.ndarray, codes: np.ndarray, books: np.ndarray, rng: np.ra
     return best
 
 
-def fitted_books(x: np.ndarray, codes: np.ndarray, size: int, ridge: float = 1e-3) -> np.ndarray:
-    """Books of least squared error for the codes."""
-    n, m = codes.shape
+def fitted_books(x: np.ndarray, codes: np.ndarray, books: np.ndarray, pull: float = 1.0) -> np.ndarray:
+    """Books of least squared error for the codes, pulled towards the books before: entries of few rows move little."""
+    n, (m, size, d) = len(x), books.shape
     ones = np.zeros((n, m * size))
     ones[np.arange(n)[:, None], codes + np.arange(m)[None] * size] = 1
-    return np.linalg.solve(ones.T @ ones + ridge * np.eye(m * size), ones.T @ x).reshape(m, size, -1)
+    return np.linalg.solve(ones.T @ ones + pull * np.eye(m * size), ones.T @ x + pull * books.reshape(m * size, d)).reshape(books.shape)
 
 
 def local_search_books(x: np.ndarray, books: int, size: int, rounds: int = 10, tries: int = 4, seed: int = 3) -> np.ndarray:
-    """Books fitted together: codes, books, codes, ... with noise on the vectors that falls to none in the last round."""
+    """Books fitted together: codes, books, codes, ... with noise on the vectors that falls to none in the last round. The
+    books that are kept are those whose codes, found anew as `encode` finds them, have the least error."""
     rng, c = np.random.default_rng(seed), residual_books(x, books, size)
-    codes = beam_codes(x, c)
-    spread = x.std(0)
+    codes, spread = beam_codes(x, c, BEAM), x.std(0)
     best, least = c, errors(x, codes, c).mean()
     for r in range(rounds):
         heat = (1 - (r + 1) / rounds) ** 0.5
         noisy = x + rng.standard_normal(x.shape) * spread * heat * 0.1
-        c = fitted_books(noisy, codes, size)
-        codes = local_search(x, codes, c, rng, tries)
+        c = fitted_books(noisy, codes, c)
+        codes = local_search(x, beam_codes(x, c, BEAM), c, rng, tries)
         now = errors(x, codes, c).mean()
         if now < least:
             best, least = c, now
@@ -131,7 +131,7 @@ def norm_range(x: np.ndarray, books: np.ndarray) -> tuple[float, float]:
     return float(norms.min()), float(norms.max())
 
 
-def encode(base: DataFrame, books: np.ndarray, how: str = "local", beam: int = 8, seed: int = 3) -> DataFrame:
+def encode(base: DataFrame, books: np.ndarray, how: str = "local", beam: int = BEAM, seed: int = 3) -> DataFrame:
     """(id, code, norm, error) of every row, with the squared norm and error of what its code stands for; how: `greedy`, `beam` or `local`. A row's code depends on the row alone but for the draws
     of local search, which follow from the place in its batch."""
 

@@ -272,24 +272,6 @@ def collision_search(base: DataFrame, queries: DataFrame, matrix, k: int, width:
     return top_k(exact.select("qid", "id", distance("l2").alias("dist")), k)
 
 
-def box_search(base: DataFrame, queries: DataFrame, tables: list, k: int, half: float) -> DataFrame:
-    """Dynamic-bucket hashing: rows inside the box of half-width `half` around the query's projection in any table."""
-    pairs = base.join(F.broadcast(queries))
-    inside = None
-    for t in tables:
-        p, q = linear(t, "v"), linear(t, "q")
-        one = F.forall(F.zip_with(p, q, lambda x, y: F.abs(x - y)), lambda z: z <= half)
-        inside = one if inside is None else inside | one
-    return top_k(pairs.where(inside).select("qid", "id", distance("l2").alias("dist")), k)
-
-
-def projected_candidates(base: DataFrame, queries: DataFrame, matrix, k: int, verify: int) -> DataFrame:
-    """The `verify` rows nearest in the projection of each query, verified exactly."""
-    small = all_pairs(projected(base, matrix, "v").select("id", F.col("p").alias("v")), projected(queries, matrix, "q").select("qid", F.col("p").alias("q")), "l2")
-    chosen = top_k(small, verify).select("qid", "id")
-    return top_k(chosen.join(base.select("id", "v"), "id").join(F.broadcast(queries), "qid").select("qid", "id", distance("l2").alias("dist")), k)
-
-
 # -- trees
 
 def forest(x: np.ndarray, trees: int, leaf: int, seed: int) -> list[list[tuple[np.ndarray, float]]]:

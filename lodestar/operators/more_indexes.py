@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lodestar.functions.distances import coordinate_sum, distance
 from lodestar.functions.vectors import linear
 from lodestar.operators.indexes import assign, hyperplanes, literal, lloyd, residual_encode
+from lodestar.operators.pivots import box_pairs, boxes_of
 from lodestar.operators.search import knn, top_k
 
 # -- inverted lists
@@ -213,16 +214,10 @@ def dynamic_bucket_search(base: DataFrame, queries: DataFrame, k: int, c: float
     save = save or (lambda df: df.checkpoint())
     d = len(base.first().v)
     maps = [hyperplanes(dims, d, seed + t) for t in range(tables)]
-    projections = lambda df, vec: df.withColumns({f"p{t}": linear(m, vec) for t, m in enumerate(maps)})
-    keys = save(projections(base, "v").drop("v"))
+    keys = save(boxes_of(base, "v", maps, "p").drop("v"))
 
     def candidates(open_ones: DataFrame, radius: float) -> DataFrame:
-        q = projections(open_ones, "q").select("qid", *[F.col(f"p{t}").alias(f"q{t}") for t in range(tables)])
-        inside: Column | None = None
-        for t in range(tables):
-            one = F.forall(F.zip_with(f"p{t}", f"q{t}", lambda x, y: F.abs(x - y)), lambda z: z <= 2 * c * c * radius)
-            inside = one if inside is None else inside | one
-        return keys.join(F.broadcast(q)).where(inside).select("qid", "id")
+        return box_pairs(keys, boxes_of(open_ones, "q", maps, "q"), tables, 2 * c * c * radius)
 
     return _rounds(candidates, base, queries, k, start, c, save)
 

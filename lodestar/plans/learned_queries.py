@@ -139,7 +139,7 @@ def flat_insert(spark, sf_dir):
 
 def additive_model(b: DataFrame):
     x = X.training_rows(b, SAMPLE)
-    size = min(64, max(1, len(x)))
+    size = min(64, max(1, len(x) // 16))
     return x, A.local_search_books(x, 8, size, 6) if len(x) else np.zeros((8, 1, 1))
 
 
@@ -155,7 +155,7 @@ def additive_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean squared error over the whole table at eight bytes a row: residual codes, greedy and by beam, and local search."""
     b, _ = both(spark, sf_dir)
     x, books = additive_model(b)
-    residual = A.residual_books(x, 8, min(64, max(1, len(x)))) if len(x) else books
+    residual = A.residual_books(x, 8, books.shape[1]) if len(x) else books
     rows = [A.encode(b, c, how).select(F.lit(how).alias("method"), "error") for how, c in (("greedy", residual), ("beam", residual), ("local", books))]
     return rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("method").agg(F.avg("error").alias("error"), F.count(F.lit(1)).alias("n"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestar.operators import indexes as X
 from lodestar.operators import more_indexes as N
+from lodestar.operators import pivots as P
 from lodestar.operators import search as S
 from lodestar.plans import duck
 from lodestar.plans.vector_queries import K, _books, _nearest, base, both, first_centroids, saver
@@ -119,7 +120,7 @@ def dynamic_bucket_hash(spark, sf_dir):
 @query("projected_hash_bounded")
 def projected_hash_bounded(spark, sf_dir):
     b, q = both(spark, sf_dir)
-    return X.projected_candidates(b, q, X.hyperplanes(15, 64, 12) / np.sqrt(N.chi_square_quantile(15)), K, int(0.1 * b.count()) + K)
+    return P.projected_candidates(b, q, X.hyperplanes(15, 64, 12) / np.sqrt(N.chi_square_quantile(15)), K, int(0.1 * b.count()) + K, saver(spark))
 
 
 @query("code_patterns")

@@ -13,6 +13,7 @@ from lodestar.functions import vectors as V
 from lodestar.operators import indexes as X
 from lodestar.operators import merge as M
 from lodestar.operators import metrics as E
+from lodestar.operators import pivots as P
 from lodestar.operators import search as S
 from lodestar.plans import duck
 
@@ -380,12 +381,12 @@ def collision_band(spark, sf_dir):
 
 @query("box_hash", f"WITH {duck.BASE}, {_projected(np.concatenate(_BOXES))} {_ranked('SELECT qid, id, ' + duck.measure('l2') + ' AS dist FROM pq, pb WHERE ' + ' OR '.join(duck.measure('linf', f'pq.y[{3 * t + 1}:{3 * t + 3}]', f'pb.x[{3 * t + 1}:{3 * t + 3}]') + ' <= 0.7' for t in range(4)))}")
 def box_hash(spark, sf_dir):
-    return X.box_search(*both(spark, sf_dir), _BOXES, K, 0.7)
+    return P.box_search(*both(spark, sf_dir), _BOXES, K, 0.7)
 
 
 @query("projected_verify", f"WITH {duck.BASE}, {_projected(_LOW)}, near AS (SELECT pq.qid, pb.id, q, v, row_number() OVER (PARTITION BY qid ORDER BY {duck.measure('l2', 'pq.y', 'pb.x')}, id) AS r FROM pq, pb) {_ranked('SELECT qid, id, ' + duck.measure('l2') + ' AS dist FROM near WHERE r <= 60')}")
 def projected_verify(spark, sf_dir):
-    return X.projected_candidates(*both(spark, sf_dir), _LOW, K, 60)
+    return P.projected_candidates(*both(spark, sf_dir), _LOW, K, 60, saver(spark))
 
 
 def _flips(tables: int, flips: int) -> str:
