@@ -15,13 +15,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from lodestar.operators import search as S
 from lodestar.operators.indexes import lloyd
 from lodestar.operators.search import top_k
 
 NORMS = {"float": 0, "int8": 8, "int4": 4, "none": 0}
-QUERY_BLOCK, BLOCK, BEAM = 1024, 2048, 8
+BLOCK, BEAM = 2048, 8
 
 
 def residual_books(x: np.ndarray, books: int, size: int, steps: int = 10) -> np.ndarray:
@@ -157,44 +157,49 @@ def stored_norm(norm: np.ndarray, bits: int, low: float, high: float) -> np.ndar
 
 
 def search(codes: DataFrame, queries: DataFrame, books: np.ndarray, k: int, norms: str = "float", bounds: tuple[float, float] = (0.0, 1.0)) -> DataFrame:
-    """The k nearest codes of each query by tables of inner products and norms. Blocks of queries are joined with nothing: each
-    task reads its codes once for every block that is shipped, and keeps its k first of each query."""
+    """The k nearest codes of each query by tables of inner products and norms; each task keeps its k first of each query. Up
+    to QUERY_BLOCK queries are shipped to every task; more are dealt out in blocks that meet chunks of codes."""
     if norms not in NORMS:
         raise ValueError(f"norms are kept as {', '.join(NORMS)}")
     m, cross = len(books), products(books) if norms == "none" else None
+    names, kinds = ["qid", "id", "dist"], "qid long, id long, dist double"
 
-    def of_block(rows: list) -> DataFrame:
-        ids, q = np.array([r.qid for r in rows], np.int64), np.array([r.q for r in rows], np.float64)
+    def nearest(ids: np.ndarray, q: np.ndarray, batches) -> list:
         tables, own = np.einsum("nd,msd->mns", q, books), np.einsum("nd,nd->n", q, q)
+        best_d, best_i = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+        for batch in batches:
+            for a in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(a, BLOCK)
+                code = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, m)
+                norm = part.column(2).to_numpy()
+                if NORMS[norms]:
+                    norm = stored_norm(norm, NORMS[norms], *bounds)
+                elif cross is not None:
+                    norm = sum(cross[i, j][code[:, i], code[:, j]] for i in range(m) for j in range(m))
+                d = own[:, None] + norm[None] - 2 * sum(tables[j][:, code[:, j]] for j in range(m))
+                d = np.concatenate([best_d, d], 1)
+                i = np.concatenate([best_i, np.broadcast_to(part.column(0).to_numpy(), (len(ids), part.num_rows))], 1)
+                first = np.lexsort((i, d), axis=1)[:, :k]
+                best_d, best_i = np.take_along_axis(d, first, 1), np.take_along_axis(i, first, 1)
+        row, at = np.nonzero(np.isfinite(best_d))
+        return [pa.array(ids[row]), pa.array(best_i[row, at]), pa.array(best_d[row, at])]
+
+    codes = codes.select("id", "code", "norm")
+    known = queries.select("qid", "q").limit(S.QUERY_BLOCK + 1).collect()
+    if len(known) <= S.QUERY_BLOCK:
+        ids, q = np.array([r.qid for r in known], np.int64), np.array([r.q for r in known], np.float64).reshape(len(known), -1 if known else 0)
 
         def run(batches):
-            best_d, best_i = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
-            for batch in batches:
-                for a in range(0, batch.num_rows, BLOCK):
-                    part = batch.slice(a, BLOCK)
-                    code = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, m)
-                    norm = part.column(2).to_numpy()
-                    if NORMS[norms]:
-                        norm = stored_norm(norm, NORMS[norms], *bounds)
-                    elif cross is not None:
-                        norm = sum(cross[i, j][code[:, i], code[:, j]] for i in range(m) for j in range(m))
-                    d = own[:, None] + norm[None] - 2 * sum(tables[j][:, code[:, j]] for j in range(m))
-                    d = np.concatenate([best_d, d], 1)
-                    i = np.concatenate([best_i, np.broadcast_to(part.column(0).to_numpy(), (len(ids), part.num_rows))], 1)
-                    first = np.lexsort((i, d), axis=1)[:, :k]
-                    best_d, best_i = np.take_along_axis(d, first, 1), np.take_along_axis(i, first, 1)
-            row, at = np.nonzero(np.isfinite(best_d))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(best_i[row, at]), pa.array(best_d[row, at])], ["qid", "id", "dist"])
-
-        return codes.select("id", "code", "norm").mapInArrow(run, "qid long, id long, dist double")
-
-    found, block = None, []
-    for row in queries.select("qid", "q").toLocalIterator(prefetchPartitions=True):
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            found, block = (of_block(block) if found is None else found.unionByName(of_block(block))), []
-    if block:
-        found = of_block(block) if found is None else found.unionByName(of_block(block))
-    if found is None:
-        return top_k(codes.select(F.lit(0).cast("long").alias("qid"), "id", F.col("norm").alias("dist")).limit(0), k)
-    return top_k(found, k)
+            if len(ids):
+                yield pa.RecordBatch.from_arrays(nearest(ids, q, batches), names)
+
+        return top_k(codes.mapInArrow(run, kinds), k)
+    rows, asked = S.dealt(codes, queries.select("qid", "q"))
+
+    def meet(_, own: pa.Table, asking: pa.Table) -> pa.Table:
+        if not own.num_rows or not asking.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], names)
+        q = asking.column("q").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(asking.num_rows, -1)
+        return pa.table(nearest(asking.column("qid").to_numpy(), q, own.select(["id", "code", "norm"]).to_batches()), names)
+
+    return top_k(rows.groupBy("_chunk", "_block").cogroup(asked.groupBy("_chunk", "_block")).applyInArrow(meet, kinds), k)

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.vectors import linear
 from lodestar.operators import indexes as X
-from lodestar.operators.search import QUERY_BLOCK, checked, top_k
+from lodestar.operators import search as S
+from lodestar.operators.search import top_k
 
 
 def iterative_quantization(x: np.ndarray, bits: int, steps: int = 30, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -75,33 +76,44 @@ def encode_blocks(base: DataFrame, books: np.ndarray) -> DataFrame:
     return base.select("id", "v").mapInArrow(run, "id long, code binary")
 
 
-def block_search(codes: DataFrame, queries: DataFrame, books: np.ndarray, k: int) -> DataFrame:
-    """The k nearest codes (binary, a byte for each piece) of a bounded query set: tables of distances are shipped, each task keeps
-    its k first by (dist, id), so k rows for each query and task are shuffled."""
-    if not checked(queries, QUERY_BLOCK):
-        raise ValueError(f"block search takes up to {QUERY_BLOCK} queries at a time")
-    rows = queries.select("qid", "q").collect()
-    ids, q = np.array([r.qid for r in rows], np.int64), np.array([r.q for r in rows], np.float64).reshape(len(rows), -1)
+def nearest_codes(ids: np.ndarray, q: np.ndarray, books: np.ndarray, parts, k: int) -> list:
+    """qid, id and distance of the k first codes of each query by (distance, id), over parts of (ids, codes)."""
     m, w = len(books), books.shape[2]
-    tables = np.stack([((q[:, None, j * w : (j + 1) * w] - books[j][None]) ** 2).sum(2) for j in range(m)]) if len(rows) else np.empty((m, 0, 0))
+    tables = np.stack([((q[:, None, j * w : (j + 1) * w] - books[j][None]) ** 2).sum(2) for j in range(m)])
+    best = [(np.empty(0), np.empty(0, np.int64))] * len(ids)
+    for own, code in parts:
+        for n in range(len(ids)):
+            d = sum(tables[j, n][code[:, j]] for j in range(m))
+            near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
+            d, i = np.concatenate([best[n][0], d[near]]), np.concatenate([best[n][1], own[near]])
+            first = np.lexsort((i, d))[:k]
+            best[n] = d[first], i[first]
+    return [pa.array(np.repeat(ids, [len(x[0]) for x in best])), pa.array(np.concatenate([x[1] for x in best])), pa.array(np.concatenate([x[0] for x in best]))]
 
-    def run(batches):
-        best = [(np.empty(0), np.empty(0, np.int64))] * len(ids)
-        for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            own = batch.column(0).to_numpy()
-            code = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, m)
-            for n in range(len(ids)):
-                d = sum(tables[j, n][code[:, j]] for j in range(m))
-                near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
-                d, i = np.concatenate([best[n][0], d[near]]), np.concatenate([best[n][1], own[near]])
-                first = np.lexsort((i, d))[:k]
-                best[n] = d[first], i[first]
-        if len(ids):
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(x[0]) for x in best])), pa.array(np.concatenate([x[1] for x in best])), pa.array(np.concatenate([x[0] for x in best]))], ["qid", "id", "dist"])
-
-    return top_k(codes.select("id", "code").mapInArrow(run, "qid long, id long, dist double"), k)
+
+def block_search(codes: DataFrame, queries: DataFrame, books: np.ndarray, k: int) -> DataFrame:
+    """The k nearest codes (binary, a byte for each piece) of each query. Tables of distances are made where they are used, and
+    each task keeps its k first by (dist, id), so k rows for each query and task are shuffled. Up to QUERY_BLOCK queries are
+    shipped to every task; more are dealt out in blocks that meet chunks of codes."""
+    m, names, kinds = len(books), ["qid", "id", "dist"], "qid long, id long, dist double"
+    parts = lambda batches: ((b.column(0).to_numpy(), np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, m)) for b in batches if b.num_rows)
+    known = queries.select("qid", "q").limit(S.QUERY_BLOCK + 1).collect()
+    if len(known) <= S.QUERY_BLOCK:
+        ids, q = np.array([r.qid for r in known], np.int64), np.array([r.q for r in known], np.float64).reshape(len(known), -1 if known else 0)
+
+        def run(batches):
+            if len(ids):
+                yield pa.RecordBatch.from_arrays(nearest_codes(ids, q, books, parts(batches), k), names)
+
+        return top_k(codes.select("id", "code").mapInArrow(run, kinds), k)
+    rows, asked = S.dealt(codes.select("id", "code"), queries.select("qid", "q"))
+
+    def meet(_, own: pa.Table, asking: pa.Table) -> pa.Table:
+        if not own.num_rows or not asking.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], names)
+        return pa.table(nearest_codes(asking.column("qid").to_numpy(), matrix_of(asking.column("q").combine_chunks()), books, parts(own.select(["id", "code"]).to_batches()), k), names)
+
+    return top_k(rows.groupBy("_chunk", "_block").cogroup(asked.groupBy("_chunk", "_block")).applyInArrow(meet, kinds), k)
 
 
 # -- layered graphs

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.distances import block_distance, distance, is_similarity
 
-#: Queries that one pass ships to every task; more are searched in further passes.
-QUERY_BLOCK = 4096
+#: Queries that are shipped to every task; more are dealt out in blocks of this size, to chunks of so many rows.
+QUERY_BLOCK, CHUNK_ROWS = 4096, 1 << 16
 
 
 def vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", *more: str) -> DataFrame:
@@ -36,14 +36,27 @@ def top_k(pairs: DataFrame, k: int, by: list[Column] | None = None, extra: list[
 
 
 def all_pairs(base: DataFrame, queries: DataFrame, measure: str | Column = "l2") -> DataFrame:
-    """Distances of the stated queries to every row (column path); the query side is the small one."""
+    """Distances of the stated queries to every row (column path). Few queries are broadcast, more are dealt out in blocks."""
     dist = distance(measure) if isinstance(measure, str) else measure
     keep = [c for c in base.columns if c not in ("id", "v")]
-    return base.join(F.broadcast(queries)).select("qid", "id", dist.alias("dist"), *keep) if checked(queries) else base.crossJoin(queries).select("qid", "id", dist.alias("dist"), *keep)
+    if checked(queries):
+        return base.join(F.broadcast(queries)).select("qid", "id", dist.alias("dist"), *keep)
+    rows, asked = dealt(base, queries)
+    return rows.join(asked, ["_chunk", "_block"]).select("qid", "id", dist.alias("dist"), *keep)
 
 
-def checked(queries: DataFrame, most: int = QUERY_BLOCK) -> bool:
-    """Whether the query set is small enough to broadcast: a count of at most `most` + 1 rows."""
+def dealt(base: DataFrame, queries: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """Rows and queries with columns _chunk and _block, so that each row meets each query in one pair of a chunk of rows and a
+    block of queries: rows are repeated for each block, queries for each chunk. Both have a bounded size."""
+    blocks, chunks = -(-queries.count() // QUERY_BLOCK) or 1, -(-base.count() // CHUNK_ROWS) or 1
+    of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    return base.withColumn("_chunk", of(key, chunks)).withColumn("_block", every(blocks)), queries.withColumn("_block", of("qid", blocks)).withColumn("_chunk", every(chunks))
+
+
+def checked(queries: DataFrame, most: int | None = None) -> bool:
+    """Whether the query set is small enough to broadcast: a count of at most `most` (QUERY_BLOCK) + 1 rows."""
+    most = QUERY_BLOCK if most is None else most
     return queries.limit(most + 1).count() <= most
 
 
@@ -58,54 +71,70 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _lists(x: np.ndarray) -> pa.ListArray:
+    """A matrix as an array column."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1)))
+
+
+def nearest_rows(near, q: np.ndarray, parts, take_most: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Ids and vectors of each query's nearest rows (queries x rows) of parts of (ids, vectors), by a block measure."""
+    best_d = best_i = best_v = None
+    for own, v in parts:
+        d = near(q, v)
+        take = min(take_most, d.shape[1])
+        at = np.argpartition(d, take - 1, axis=1)[:, :take] if take < d.shape[1] else np.broadcast_to(np.arange(d.shape[1]), d.shape)
+        d, i, w = np.take_along_axis(d, at, 1), own[at], v[at]
+        if best_d is not None:
+            d, i, w = np.concatenate([best_d, d], 1), np.concatenate([best_i, i], 1), np.concatenate([best_v, w], 1)
+            take = min(take_most, d.shape[1])
+            at = np.argsort(d, axis=1, kind="stable")[:, :take]
+            d, i, w = np.take_along_axis(d, at, 1), np.take_along_axis(i, at, 1), np.take_along_axis(w, at[:, :, None], 1)
+        best_d, best_i, best_v = d, i, w
+    return None if best_d is None else (best_i, best_v)
+
+
+FOUND = "qid long, q array<double>, id long, v array<double>"
+
+
 def knn(base: DataFrame, queries: DataFrame, k: int, measure: str = "l2", slack: int = 8) -> DataFrame:
     """Block search with `slack` more candidates for each task than k, whose distances are then computed anew by the
-    column path, so ids and distances are those of the column path."""
+    column path, so ids and distances are those of the column path. Up to QUERY_BLOCK queries are shipped to every task;
+    more stay on the executors, in blocks that meet chunks of rows."""
     near = block_distance(measure)
     if near is None:
         return knn_columns(base, queries, k, measure)
-    out = None
-    known = queries.select("qid", "q").toLocalIterator(prefetchPartitions=True)
-    block: list = []
+    names = ["qid", "q", "id", "v"]
 
-    def search(block: list) -> DataFrame:
-        ids, q = np.array([r[0] for r in block]), np.array([r[1] for r in block], np.float64)
+    def rows_of(ids: np.ndarray, q: np.ndarray, best) -> list:
+        i, v = best
+        n, m = i.shape
+        return [pa.array(np.repeat(ids, m)), _lists(np.repeat(q, m, axis=0)), pa.array(i.reshape(-1)), _lists(v.reshape(n * m, -1))]
+
+    known = queries.select("qid", "q").limit(QUERY_BLOCK + 1).collect()
+    if not known:
+        return knn_columns(base, queries, k, measure)
+    if len(known) <= QUERY_BLOCK:
+        ids, q = np.array([r[0] for r in known]), np.array([r[1] for r in known], np.float64)
 
         def run(batches):
-            best_d = best_i = best_v = None
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own, v = batch.column(0).to_numpy(), _matrix(batch.column(1))
-                d = near(q, v)
-                take = min(k + slack, d.shape[1])
-                at = np.argpartition(d, take - 1, axis=1)[:, :take] if take < d.shape[1] else np.broadcast_to(np.arange(d.shape[1]), d.shape)
-                d, i, w = np.take_along_axis(d, at, 1), own[at], v[at]
-                if best_d is not None:
-                    d, i, w = np.concatenate([best_d, d], 1), np.concatenate([best_i, i], 1), np.concatenate([best_v, w], 1)
-                    take = min(k + slack, d.shape[1])
-                    at = np.argsort(d, axis=1, kind="stable")[:, :take]
-                    d, i, w = np.take_along_axis(d, at, 1), np.take_along_axis(i, at, 1), np.take_along_axis(w, at[:, :, None], 1)
-                best_d, best_i, best_v = d, i, w
-            if best_d is not None:
-                n, m = best_d.shape
-                dim = best_v.shape[2]
-                lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(n * m + 1, dtype=np.int32) * dim), pa.array(x.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, m)), lists(np.repeat(q, m, axis=0)), pa.array(best_i.reshape(-1)), lists(best_v)], ["qid", "q", "id", "v"])
-
-        found = base.select("id", "v").mapInArrow(run, "qid long, q array<double>, id long, v array<double>")
-        pairs = found.select("qid", "id", distance(measure).alias("dist"))
-        return top_k(pairs, k, [F.col("dist").desc() if is_similarity(measure) else F.col("dist"), F.col("id")])
-
-    for row in known:
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            out, block = (search(block) if out is None else out.unionByName(search(block))), []
-    if block or out is None:
-        if not block:
-            return knn_columns(base, queries, k, measure)
-        out = search(block) if out is None else out.unionByName(search(block))
-    return out
+            best = nearest_rows(near, q, ((b.column(0).to_numpy(), _matrix(b.column(1))) for b in batches if b.num_rows), k + slack)
+            if best is not None:
+                yield pa.RecordBatch.from_arrays(rows_of(ids, q, best), names)
+
+        found = base.select("id", "v").mapInArrow(run, FOUND)
+    else:
+        rows, asked = dealt(base.select("id", "v"), queries.select("qid", "q"))
+
+        def meet(_, own: pa.Table, asking: pa.Table) -> pa.Table:
+            batches = [b for b in own.select(["id", "v"]).combine_chunks().to_batches() if b.num_rows]
+            if not batches or not asking.num_rows:
+                return pa.table([pa.array([], t) for t in (pa.int64(), pa.list_(pa.float64()), pa.int64(), pa.list_(pa.float64()))], names)
+            ids, q = asking.column("qid").to_numpy(), _matrix(asking.column("q").combine_chunks())
+            return pa.table(rows_of(ids, q, nearest_rows(near, q, ((b.column(0).to_numpy(), _matrix(b.column(1))) for b in batches), k + slack)), names)
+
+        found = rows.groupBy("_chunk", "_block").cogroup(asked.groupBy("_chunk", "_block")).applyInArrow(meet, FOUND)
+    pairs = found.select("qid", "id", distance(measure).alias("dist"))
+    return top_k(pairs, k, [F.col("dist").desc() if is_similarity(measure) else F.col("dist"), F.col("id")])
 
 
 def range_search(base: DataFrame, queries: DataFrame, radius: float, measure: str = "l2") -> DataFrame:

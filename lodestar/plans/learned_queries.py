@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lodestar.operators import additive as A
 from lodestar.operators import indexes as X
 from lodestar.operators import insertion as G
+from lodestar.operators import kdblocks as T
 from lodestar.operators import lattice
 from lodestar.operators import learned as R
 from lodestar.operators import more_indexes as N
@@ -177,3 +178,10 @@ v AS (SELECT vec_id AS id, k AS piece, list_slice(embedding, 4 * k + 1, 4 * k +
 m AS (SELECT id, piece, code, point, row_number() OVER (PARTITION BY id, piece ORDER BY x[1] * point[1] + x[2] * point[2] + x[3] * point[3] + x[4] * point[4] DESC, code) AS place FROM v, o)
 SELECT id, piece, code, point FROM m WHERE place = 1
 """
+
+
+@query("kd_hash")
+def kd_hash(spark, sf_dir):
+    """Query-aware hashing inside the nearest blocks of a kd-tree."""
+    b, q = both(spark, sf_dir)
+    return T.search(T.build(b, saver(spark), 256), q, K, 6, 1.3, 0.5, 0.25).drop("compared")

@@ -48,7 +48,8 @@ def test_errors_fall_from_greedy_to_beam_to_local():
 @pytest.mark.parametrize("norms", list(A.NORMS))
 def test_search_by_hand(spark, monkeypatch, norms):
     """Every norm mode against the distances to what the codes stand for; queries in several blocks."""
-    monkeypatch.setattr(A, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(S, "QUERY_BLOCK", 4 if norms in ("float", "none") else 4096)
+    monkeypatch.setattr(S, "CHUNK_ROWS", 100)
     x = generated(300, 8)
     x[7] = x[5]
     base = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(999, None)], "id long, v array<double>").repartition(3)
