@@ -24,7 +24,7 @@ def test_stages_compose(spark, docs, tmp_path):
 
 
 def test_every_operator_is_registered():
-    assert {n.split("_")[0] for n in registry.QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in registry.QUERIES} == {f"op{k}" for k in range(1, 14)}
 
 
 def test_empty_table(spark, docs, tmp_path):
