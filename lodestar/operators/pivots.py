@@ -44,13 +44,15 @@ def pivot_distances(vec: str, pivots: np.ndarray) -> Column:
 
 
 def ring_pairs(rows: DataFrame, asked: DataFrame, pivots: np.ndarray, width: float) -> DataFrame:
-    """(qid, id, dist) of rows (id, v, far, own) and queries (qid, q, far_q, r) not farther apart than r."""
+    """(qid, id, dist) of rows (id, v, own, ring_at, f0, f1, ...) and queries (qid, q, far_q, r) not farther apart than r."""
     cover = rows.groupBy("own").agg(F.max("ring_at").alias("cover"))  # a row for each pivot at most
-    reach = asked.select("qid", "q", "far_q", "r", F.posexplode("far_q").alias("own", "at")).join(F.broadcast(cover), "own")
+    gaps = [F.col("far_q")[j].alias(f"g{j}") for j in range(len(pivots))]
+    reach = asked.select("qid", "q", "r", *gaps, F.posexplode("far_q").alias("own", "at")).join(F.broadcast(cover), "own")
     first, last = F.floor(F.greatest(F.col("at") - F.col("r") - SLACK, F.lit(0.0)) / width), F.floor(F.least(F.col("at") + F.col("r") + SLACK, F.col("cover")) / width)
     reach = reach.where(first <= last).withColumn("cell", F.explode(F.sequence(first, last)))
-    near = F.forall(F.zip_with("far", "far_q", lambda x, y: F.abs(x - y)), lambda gap: gap <= F.col("r") + SLACK)
-    met = rows.withColumn("cell", F.floor(F.col("ring_at") / width)).join(reach, ["own", "cell"]).where(near)
+    met = rows.withColumn("cell", F.floor(F.col("ring_at") / width)).join(reach, ["own", "cell"])
+    for j in range(len(pivots)):  # plain comparisons of doubles, before any array is looked at
+        met = met.where(F.abs(F.col(f"f{j}") - F.col(f"g{j}")) <= F.col("r") + SLACK)
     return met.select("qid", "id", distance("l2").alias("dist"), "r").where("dist <= r").select("qid", "id", "dist")
 
 
@@ -64,7 +66,7 @@ def nearest_projected(base: DataFrame, queries: DataFrame, matrix: np.ndarray, c
     pivots = far_apart(sample, PIVOTS)
     far = pivot_distances("v", pivots)
     rows = low.withColumn("far", far).withColumn("ring_at", F.array_min("far")).withColumn("own", (F.array_position("far", F.col("ring_at")) - 1).cast("int"))
-    rows = save(rows)
+    rows = save(rows.select("id", "v", "own", "ring_at", *[F.col("far")[j].alias(f"f{j}") for j in range(len(pivots))]))
     n = rows.count()
     wanted = min(count, n)
     some = np.array([r.q for r in open_ones.orderBy(F.xxhash64("qid")).limit(ASKED).collect()], np.float64)

@@ -184,4 +184,4 @@ SELECT id, piece, code, point FROM m WHERE place = 1
 def kd_hash(spark, sf_dir):
     """Query-aware hashing inside the nearest blocks of a kd-tree."""
     b, q = both(spark, sf_dir)
-    return T.search(T.build(b, saver(spark), 256), q, K, 6, 1.3, 0.5, 0.25).drop("compared")
+    return T.search(T.build(b, saver(spark), 512), q, K, 12, 1.3, 0.5, 0.25).drop("compared")
